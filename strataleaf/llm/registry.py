@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataleaf.llm import chat_format, decontaminate, language_id, license_scan, packing, pii
+from strataleaf.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, pii
 from strataleaf.session import table
 
 
@@ -15,6 +15,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.format_turns(turns))
@@ -41,6 +45,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_language_id": op3_language_id,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_format": op5_chat_format,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
