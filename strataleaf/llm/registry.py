@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataleaf.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, pii
+from strataleaf.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, pii, vptree
 from strataleaf.session import table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -44,6 +53,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest": op1_nearest,
+        "op2_html_extract": op2_html_extract,
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_format": op5_chat_format,
