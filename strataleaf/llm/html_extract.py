@@ -60,13 +60,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "name", "parent", "score", "tags")
+    __slots__ = ("block", "chars", "children", "density", "dropped", "link_chars", "link_tags", "name", "parent", "score", "tags")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool = False):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
+        self.block = name in BLOCKS
 
 
 def _unwanted(name: str, attributes: str, parent: Node) -> bool:
@@ -163,6 +164,7 @@ def measure(root: Node) -> Node:
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.name == "a")
+                node.block |= c.block
         if link:
             node.link_chars = node.chars
     body = next((c for c in root.children if isinstance(c, Node) and c.name == "body"), root)
@@ -173,11 +175,8 @@ def measure(root: Node) -> Node:
             base = math.log(node.chars / max(1, node.chars - node.link_chars) * node.link_chars + share * node.chars + math.e)
             node.density = node.chars / tags * max(0.0, math.log(max(1.0, node.chars / links * tags / link_tags))) / max(0.1, math.log(base))
     for node in order:
-        node.score = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped)
-        # Text that stands in the node itself, between its children, is a child's worth.
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        if own and node.chars:
-            node.score += node.density * own / node.chars
+        # Inline elements are part of their block's text.
+        node.score = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped and c.block)
     return body
 
 
