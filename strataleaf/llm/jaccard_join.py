@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.llm.components import components
@@ -324,7 +324,13 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents but one of each component, all columns as they were; repeated rows of an id leave one."""
-    groups = join(docs, width, percent)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """The documents but one of each component, all columns as they were.
+
+    The least doc_id of a component stays. Rows that repeat an id leave the row of least text.
+    """
+    groups = written(join(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    kept = docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not groups.where("rows > 1").limit(1).count():
+        return kept
+    least = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")])
+    return kept.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")

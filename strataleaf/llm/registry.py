@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataleaf.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, pii, vptree
+from strataleaf.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, packing, pii, substring_dedup, vptree
 from strataleaf.session import table
 
 
@@ -33,6 +33,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_chat_format": op5_chat_format,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
         "op9_decontaminate": op9_decontaminate,

@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
@@ -47,12 +47,18 @@ def _prefix(raw: np.ndarray, powers: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums before each byte and after the last, and the inverse powers: (sums[b] - sums[a]) * back[a] stands for raw[a:b]."""
+    up, down = power_tables(len(raw))
+    return _prefix(raw, up), down
+
+
 def substring_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     """64-bit hash of each substring of so many bytes."""
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
+    up, down = power_tables(len(raw))
     sums = _prefix(raw, up)
     return mixed((sums[length:] - sums[:n]) * down[:n])
 
@@ -65,7 +71,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not blank[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(raw))
+    up, down = power_tables(len(raw))
     sums = _prefix(raw, up)
     words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     bounds = np.cumsum([len(t) + 1 for t in texts])
