@@ -98,6 +98,24 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 
 
+#: Titles that texts are often headed with.
+TITLES = {
+    "MIT": "MIT License",
+    "ISC": "ISC License",
+    "0BSD": "BSD Zero Clause License",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "Zlib": "zlib License",
+}
+
+
+def catalogue(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(id, text) of known licences, with and without their titles."""
+    known = KNOWN_LICENSES if known is None else known
+    titled = [(k, f"{TITLES[k]}\n\n{v}") for k, v in known.items() if k in TITLES]
+    return sorted([*known.items(), *titled])
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a whole licence text."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
@@ -113,7 +131,7 @@ def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
     """license_digest, license_id: one row for each distinct digest of the catalogue."""
     entries = [
         F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("t"))
-        for k, v in sorted((KNOWN_LICENSES if known is None else known).items())
+        for k, v in catalogue(known)
     ]
     return (
         spark.range(1)
@@ -154,7 +172,7 @@ def sql_canonical(column: str) -> str:
 
 def oracle() -> str:
     """DuckDB SQL for scan() over documents."""
-    values = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in sorted(KNOWN_LICENSES.items()))
+    values = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in catalogue())
     return f"""
 WITH known AS (
   SELECT sha256({sql_canonical('t')}) AS license_digest, min(license_id) AS license_id
