@@ -3,11 +3,10 @@
 1. One pass turns each whole text into its set of hashed word shingles; documents
    with equal sets form a class, and only the class's least document goes on.
 2. The shingles of a set are hashed into as many groups as let every linked pair
-   agree on some whole group: sets of at most u shingles with Jaccard similarity
-   of at least t differ in at most 2u(1-t)/(1+t) shingles, hence in no more
-   groups. The contents of a group are its key, so linked classes meet under a
+   agree on some whole group: sets of x and y shingles with Jaccard similarity of
+   at least t differ in at most (x+y)(1-t)/(1+t) shingles, hence in no more groups. The contents of a group are its key, so linked classes meet under a
    key; where the agreement is on empty groups only, triples of these are keys.
-3. Under each key the classes are points - their shingle counts in 64 coarser
+3. Under each key the classes are points - their shingle counts in 512 other
    groups - of an R-tree. The overlap of two sets is at most the sum of the
    lesser coordinates, and with a node's largest coordinates the same bounds
    every set below it. Pairs that survive are verified on whole shingle sets.
@@ -29,7 +28,7 @@ result.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,22 +38,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.llm.components import components
-from strataleaf.llm.frames import forget, slices, written
+from strataleaf.llm.frames import forget, only_ids, slices, without_ids, written
 from strataleaf.llm.shingles import mixed, shingle_sets
 
-GROUPS = 64
+GROUPS = 512
+FULL = 255
 LEAF = 32
 BLOCK = 4096
+#: Keys keep 48 bits: two that fall together by chance cost a comparison and change no result.
+KEY_SHIFT = 16
 
 
-def band_limits(most: int = 1 << 40) -> list[int]:
-    out = [1]
-    while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
-    return out
-
-
-_BANDS = band_limits()
+def band(n: int) -> int:
+    """Sets of 2**b to 2**(b+1) - 1 shingles are band b."""
+    return n.bit_length() - 1
 
 
 class Threshold:
@@ -73,9 +70,23 @@ class Threshold:
     def most_partner(self, n: int) -> int:
         return 100 * n // self.percent
 
-    def most_differences(self, u: int) -> int:
-        """Largest symmetric difference of linked sets of at most u shingles each."""
-        return (100 - self.percent) * 2 * u // (100 + self.percent)
+    def most_differences(self, total: int) -> int:
+        """Largest symmetric difference of linked sets whose sizes add up to total."""
+        return (100 - self.percent) * total // (100 + self.percent)
+
+    def instances(self, n: int) -> list[tuple[int, int, int]]:
+        """(number, least size, largest symmetric difference) of the groupings that a set of n shingles takes part in.
+
+        Linked sets of one band meet in the band's grouping, those on either side of a band's
+        beginning in the grouping of that beginning.
+        """
+        b = band(n)
+        out = [(2 * b, 1 << b, self.most_differences(2 * ((2 << b) - 1)))]
+        for edge, below in ((1 << b, False), (2 << b, True)):
+            least, most = -(-self.percent * edge // 100), self.most_partner(edge - 1)
+            if (n >= least) if below else (n <= most):
+                out.append((2 * band(edge) - 1, least, self.most_differences(edge - 1 + most)))
+        return out
 
 
 def keys_of(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
@@ -83,44 +94,49 @@ def keys_of(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     n, out = len(shingles), []
     if not n:
         return np.zeros(0, np.int64)
-    first, last = bisect_right(_BANDS, n) - 1, bisect_right(_BANDS, threshold.most_partner(n)) - 1
     content = mixed(shingles)
-    for band in range(first, last + 1):
-        differences = threshold.most_differences(_BANDS[band + 1] - 1)
-        spare = 2 + differences // 12 if differences else 0
-        k = differences + 1 + spare
+    for number, least, differences in threshold.instances(n):
+        # Spare groups, for so many may be empty in the least of these sets.
+        k = differences + 1
+        spare = 2 + int(1.3 * k * math.exp(-least / k)) if differences else 0
+        k += spare
         group = ((shingles >> np.uint64(16)) % np.uint64(k)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         group = group[order]
         at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sums = np.add.reduceat(content[order], at)
-        out.append(mixed(sums + mixed((group[at] + (band << 40)).astype(np.uint64))))
+        out.append(mixed(sums + mixed((group[at] + (number << 40)).astype(np.uint64))))
         if (empty := k - len(at)) > spare:
             # Linked sets agree on spare + 1 groups at least; if all of those are empty, three of them are among the first so many of each.
-            least = np.setdiff1d(np.arange(k), group)[: empty - spare + 2]
-            triples = np.array(list(combinations(least.tolist(), 3)), np.uint64).reshape(-1, 3)
-            out.append(mixed(mixed(mixed(triples[:, 0] + np.uint64((band << 40) + 7)) + triples[:, 1]) + triples[:, 2]))
-    return np.unique(np.concatenate(out)).view(np.int64)
+            first = np.setdiff1d(np.arange(k), group)[: empty - spare + 2]
+            triples = np.array(list(combinations(first.tolist(), 3)), np.uint64).reshape(-1, 3)
+            out.append(mixed(mixed(mixed(triples[:, 0] + np.uint64((number << 40) + 7)) + triples[:, 1]) + triples[:, 2]))
+    return np.unique(np.concatenate(out) >> np.uint64(KEY_SHIFT)).view(np.int64)
 
 
 def counts_of(shingles: np.ndarray) -> np.ndarray:
-    """The set as a point: shingles in each coarse group."""
-    return np.minimum(np.bincount((shingles >> np.uint64(3)) % np.uint64(GROUPS), minlength=GROUPS), 65535).astype(np.uint16)
+    """The set as a point: shingles in each group."""
+    return np.minimum(np.bincount((shingles >> np.uint64(3)) % np.uint64(GROUPS), minlength=GROUPS), FULL).astype(np.uint8)
 
 
-class CountTree:
-    """R-tree over count vectors, packed by set size; a node keeps its largest coordinates and its range of sizes.
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sums of lesser coordinates, row by row; a coordinate that is full may stand for more, so such a sum is boundless."""
+    least = np.minimum(p, q)
+    out = least.sum(axis=1, dtype=np.int64)
+    if least.size and least.max() == FULL:
+        out[(least == FULL).any(axis=1)] = 1 << 40
+    return out
 
-    A coordinate of 65535 may stand for more, so such a point's bound is its size.
-    """
+
+class CountTree:
+    """R-tree over count vectors, packed by set size; a node keeps its largest coordinates and its range of sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, threshold: Threshold):
         self.threshold = threshold
-        # Like points lie together: by size, and within strips of equal size by their heaviest groups.
+        # Like points lie together: by size, and within strips of like size by their heaviest groups.
         strip = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (LEAF * 8)
         self.order = np.lexsort((points[:, 1], points[:, 0], strip)) if len(points) > LEAF else np.arange(len(points))
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order].astype(np.int64)
-        self.points[(self.points >= 65535).any(axis=1)] = 1 << 40
+        self.points, self.sizes = points[self.order], sizes[self.order]
         starts = np.arange(0, len(points), LEAF)
         self.levels = [(np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts))]
         while len(self.levels[-1][0]) > LEAF:
@@ -129,16 +145,12 @@ class CountTree:
             self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
     def _may(self, q: np.ndarray, n: int, top, low, high) -> np.ndarray:
-        need = self.threshold.least_overlap(n + np.maximum(low, 0))
         fits = (self.threshold.percent * low <= 100 * n) & (100 * high >= self.threshold.percent * n)
-        fits[fits] = np.minimum(top[fits], q).sum(axis=1) >= need[fits]
+        fits[fits] = overlap_bound(top[fits], q[None]) >= self.threshold.least_overlap(n + low[fits])
         return fits
 
     def search(self, q: np.ndarray, n: int) -> np.ndarray:
         """Places of the points that may be linked with a set of n shingles at q."""
-        q = q.astype(np.int64)
-        if (q >= 65535).any():
-            q = np.full(GROUPS, 1 << 40)
         nodes = np.arange(len(self.levels[-1][0]))
         for top, low, high in reversed(self.levels):
             nodes = nodes[nodes < len(top)]
@@ -154,29 +166,30 @@ def _bytes(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _described(docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """doc_id, n, class digest, keys and point of every document."""
+def _mapped(docs: DataFrame, width: int, columns: dict) -> DataFrame:
+    """doc_id and, for each name, what a function makes of the document's shingle set; columns: name to (type, Arrow type, function)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(_bytes(part.column("text").to_pylist()), width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([keys_of(s, threshold) for s in sets], pa.list_(pa.int64())),
-                    pa.array([counts_of(s).tobytes() for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n", "digest", "keys", "point"],
-            )
+            made = [pa.array([f(s) for s in sets], kind) for _, kind, f in columns.values()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", *columns])
+
+    return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {c[0]}" for n, c in columns.items())]))
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, point binary")
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+SIZE = ("long", pa.int64(), len)
+DIGEST = ("binary", pa.binary(), _digest)
+POINT = ("binary", pa.binary(), lambda s: counts_of(s).tobytes())
+SHINGLES = ("binary", pa.binary(), lambda s: s.tobytes())
 
 
 def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataFrame:
@@ -185,17 +198,16 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
-                p, q = (_points(part.column(c)).astype(np.int64) for c in ("pa", "pb"))
-                bound = np.minimum(p, q).sum(axis=1)
-                bound[((p >= 65535) | (q >= 65535)).any(axis=1)] = 1 << 40
+                bound = overlap_bound(_points(part.column("pa")), _points(part.column("pb")))
                 total = part.column("na").to_numpy() + part.column("nb").to_numpy()
                 yield part.select(["a", "b"]).filter(pa.array(bound >= threshold.least_overlap(total)))
 
     one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
     other = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    near = pairs.join(other, "b").join(one, "a").where(
+    sizes = pairs.join(other.drop("pb"), "b").join(one.drop("pa"), "a").where(
         (F.lit(threshold.percent) * F.col("na") <= 100 * F.col("nb")) & (F.lit(threshold.percent) * F.col("nb") <= 100 * F.col("na"))
     )
+    near = sizes.select("a", "b").distinct().join(other, "b").join(one, "a")
     return near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
@@ -224,21 +236,11 @@ def _searched(members: DataFrame, threshold: Threshold) -> DataFrame:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return members.groupBy("key", "i", "j").applyInArrow(block, "a long, b long").distinct()
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and shingle set of the wanted documents, one row for each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            sets = shingle_sets(_bytes(part.column("text").to_pylist()), width)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
-
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(block, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, digests: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """The pairs whose whole sets are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +252,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, digests: DataFrame, width: int, t
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_sets(docs, ends, width), "sets")
+    sets = written(_mapped(only_ids(docs, written(ends, "ends"), "doc_id"), width, {"shingles": SHINGLES}), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     links = written(pairs.join(other, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "links")
@@ -262,26 +264,28 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     threshold = Threshold(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(_described(docs, width, threshold), "described")
-    # Rows of one id and other text are told apart by their digest; ids stand for classes from here on.
+    described = written(_mapped(docs, width, {"n": SIZE, "digest": DIGEST}), "described")
     classes = written(described.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = described.join(
-        classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi"
-    ).dropDuplicates(["doc_id", "digest"])
-    # Two sets under one id (not so in a table with unique ids) are two points of one node.
-    points = reps.select(F.col("doc_id").alias("rep"), "n", "point").dropDuplicates(["rep", "point"])
+    # A class goes on as its least document. A document that is the least of no class is left out; one id may have several texts.
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    copies = written(described.select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep")).repartition(parts, "key")
+    keys = _mapped(without_ids(docs, copies, "doc_id"), width, {"keys": ("array<long>", pa.list_(pa.int64()), lambda s: keys_of(s, threshold))})
+    # The filter is what the join below would add; stated here, both readers share one exchange.
+    keyed = keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep")).where("key IS NOT NULL").repartition(parts, "key")
     shared = (
         keyed.groupBy("key")
-        .agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.min("rep").alias("least"))
-        .where("c > 1")
+        .agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h"), F.min("rep").alias("least"), F.max("rep").alias("most"))
+        .where("least < most")
         .groupBy("c", "h", "least")
         .agg(F.min("key").alias("key"))
     )
-    members = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "c", "least", "rep"), "members")
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "c", "least", "rep").distinct(), "members")
+    candidates = written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    described_points = _mapped(only_ids(docs, candidates, "doc_id"), width, {"n": SIZE, "point": POINT})
+    points = written(described_points.select(F.col("doc_id").alias("rep"), "n", "point").distinct(), "points")
     first = members.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _linked(written(_bounded(first, points, threshold), "pairs"), docs, classes, width, threshold)
+    links = _linked(written(_bounded(first, points, threshold), "pairs"), docs, width, threshold)
     joined = components(links)
     # Second round: keys of three classes and more that the first did not make one component.
     labelled = (
@@ -311,7 +315,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         )
     )
     second = written(_searched(spread, threshold), "pairs")
-    more = _linked(second, docs, classes, width, threshold)
+    more = _linked(second, docs, width, threshold)
     final = components(links.unionByName(more))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
@@ -328,9 +332,11 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     The least doc_id of a component stays. Rows that repeat an id leave the row of least text.
     """
-    groups = written(join(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = docs.join(groups.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not groups.where("rows > 1").limit(1).count():
+    groups = written(join(docs, width, percent), "groups")
+    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    kept = without_ids(docs, gone, "doc_id")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not again.limit(1).count():
         return kept
     least = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")])
     return kept.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
