@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,26 +73,28 @@ def feature_batches(lines: DataFrame, max_tokens: int = FEATURE_TOKENS, overlap:
     """doc_id, batch_ix, first, end (block numbers) from serialize.feature_lines().
 
     A batch after the first begins with the last blocks of the one before, measured anew in
-    serialised form, so the fold needs the text itself and runs per document in pandas.
+    serialised form, so the fold needs the text itself and runs per document on Arrow tables.
     """
     budget = max_tokens - FEATURE_OVERHEAD
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_number", "phase", "block_ix", "line_ix", "span_ix"], kind="stable")
-        blocks = [g for _, g in rows.groupby(["page_number", "phase", "block_ix"], sort=True)]
-        cost = [max(1, count("\n".join(["P1:", *(f"F0|12|{s}|.12|B" for s in g["text_snippet"])]))) for g in blocks]
+    def run(rows: pa.Table) -> pa.Table:
+        names = ["page_number", "phase", "block_ix", "line_ix", "span_ix", "font", "text_snippet", "line"]
+        spans = sorted(zip(*(rows.column(n).to_pylist() for n in names), strict=True), key=lambda r: r[:5])
+        blocks = [list(g) for _, g in groupby(spans, key=lambda r: r[:3])]
+        cost = [max(1, count("\n".join(["P1:", *(f"F0|12|{r[6]}|.12|B" for r in g)]))) for g in blocks]
 
         def measure(first: int, end: int) -> int:
-            part = pd.concat(blocks[first:end])
             fonts: dict[str, int] = {}
             pages: dict[int, list[str]] = {}
-            for font, page, line in zip(part["font"], part["page_number"], part["line"], strict=True):
-                no = fonts.setdefault(font, len(fonts))
-                pages.setdefault(page, []).append(f"F{no}|" + line.split("|", 1)[1])
+            for r in chain.from_iterable(blocks[first:end]):
+                no = fonts.setdefault(r[5], len(fonts))
+                pages.setdefault(r[0], []).append(f"F{no}|" + r[7].split("|", 1)[1])
             head = ["FONTS:", *(f"F{i}={f}" for f, i in fonts.items()), ""]
             return count("\n".join([*head, *(x for p in sorted(pages) for x in [f"P{p}:", *pages[p]])]))
 
         found = overlapping_batches(cost, measure, budget, overlap)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "batch_ix": range(1, len(found) + 1), "first": [f for f, _ in found], "end": [e for _, e in found]})
+        columns = ([rows.column("doc_id")[0].as_py()] * len(found), range(1, len(found) + 1), [f for f, _ in found], [e for _, e in found])
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "batch_ix", "first", "end"), columns, strict=True)})
 
-    return lines.groupBy("doc_id").applyInPandas(run, "doc_id long, batch_ix long, first long, end long")
+    kept = ["doc_id", "page_number", "phase", "block_ix", "line_ix", "span_ix", "font", "text_snippet", "line"]
+    return lines.select(*kept).groupBy("doc_id").applyInArrow(run, "doc_id long, batch_ix long, first long, end long")

@@ -79,6 +79,18 @@ def body_font(features: DataFrame) -> DataFrame:
     return best.select("doc_id", F.col("b.font_name").alias("body_font"), F.col("b.font_size").alias("body_size"))
 
 
+def with_body_font(features: DataFrame) -> DataFrame:
+    """The features with their document's body_font and body_size.
+
+    Dealt by document once; further windows by document need no other exchange.
+    """
+    style = Window.partitionBy("doc_id", "font_name", "font_size")
+    counted = features.repartition("doc_id").withColumn("_n", F.count("*").over(style)).withColumn("_met", F.min(F.struct(*ORDER)).over(style))
+    first = Window.partitionBy("doc_id").orderBy(F.col("_n").desc(), "_met").rowsBetween(Window.unboundedPreceding, 0)
+    found = counted.withColumn("body_font", F.first("font_name").over(first)).withColumn("body_size", F.first("font_size").over(first))
+    return found.drop("_n", "_met")
+
+
 def late_candidates(spans: DataFrame, body: DataFrame, max_blocks: int = BLOCKS_PER_PAGE, cap: int = CANDIDATES_PER_PAGE, snippet: int = SNIPPET) -> DataFrame:
     """Features of heading-like first lines of the blocks beyond the quota, so many a page."""
     beyond = spans.where((F.col("block_ix") >= max_blocks) & (F.col("block_type") == 0) & (F.col("line_ix") == 0))
@@ -118,7 +130,7 @@ def heading_entries(features: DataFrame) -> DataFrame:
 
     Levels are ranks of font size, largest first.
     """
-    found = features.join(body_font(features), "doc_id").where(
+    found = with_body_font(features).where(
         is_heading(F.col("text_snippet"), F.col("font_size"), F.col("is_bold"), F.col("body_size"), RATIO)
     )
     order = Window.partitionBy("doc_id").orderBy(*ORDER)

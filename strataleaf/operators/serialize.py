@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions.text import format_size, format_y, is_section_number, proxy_tokens, strip, strip_subset_prefix
-from strataleaf.operators.features import ORDER, body_font
+from strataleaf.operators.features import ORDER, with_body_font
 
 #: Fixed values of the summary.
 SUMMARY_ROWS, SUMMARY_RATIO, HEADING_SHARE = 80, 1.1, 0.8
@@ -79,7 +79,7 @@ def even_sample(rows: DataFrame, keys: list[str], order: list[str], n) -> DataFr
 
 def summary(features: DataFrame, max_rows: int = SUMMARY_ROWS) -> DataFrame:
     """doc_id, text: a sample of heading-like features and, for the rest, of others, in page order."""
-    marked = features.join(body_font(features), "doc_id").withColumn(
+    marked = with_body_font(features).withColumn(
         "stratum",
         F.when(
             F.coalesce("is_bold", F.lit(False))
