@@ -68,7 +68,8 @@ def preview(ops: DataFrame, reasoning_chars: int = 50) -> DataFrame:
 
 
 def operation_string() -> Column:
-    return F.format_string("%s -> %s (confidence %s)", "input_filename", "output_filename", format_confidence(F.col("confidence")))
+    """An operation as inference logs count it."""
+    return F.format_string("RenameOp('%s' -> '%s', confidence=%s)", "input_filename", "output_filename", F.col("confidence").cast("string"))
 
 
 def planned_outcome(resolved: DataFrame, existing: DataFrame) -> DataFrame:

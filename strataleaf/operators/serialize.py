@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions.text import format_size, format_y, is_section_number, proxy_tokens, strip, strip_subset_prefix
@@ -54,6 +54,23 @@ def serialize(features: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.concat(F.lit("FONTS:\n"), head, F.lit("\n\n"), F.array_join(lines, "\n")).alias("text"))
 
 
+def feature_string() -> Column:
+    """A feature as (page, 'font', size, length, 'snippet', y=..., bold=...), unknown parts left out."""
+    head = F.format_string("(%d, '%s', %s, %d, '%s'", "page_number", "font_name", F.col("font_size").cast("string"), "text_length", "text_snippet")
+    y = F.concat(F.lit(", y="), F.col("y_position").cast("string"))
+    bold = F.when(F.col("is_bold"), ", bold=True").when(~F.col("is_bold"), ", bold=False")
+    return F.concat(head, F.coalesce(y, F.lit("")), F.coalesce(bold, F.lit("")), F.lit(")"))
+
+
+def feature_list_tokens(features: DataFrame) -> DataFrame:
+    """doc_id, tokens: proxy count of a document's features written as nested lists of blocks, lines and spans."""
+    spans = features.select("doc_id", "page_number", "phase", "block_ix", "line_ix", F.length(feature_string()).alias("n"))
+    # Brackets around each list and a comma and a blank between neighbours.
+    lines = spans.groupBy("doc_id", "page_number", "phase", "block_ix", "line_ix").agg((F.sum("n") + F.count("*") * 2).alias("n"))
+    blocks = lines.groupBy("doc_id", "page_number", "phase", "block_ix").agg((F.sum("n") + F.count("*") * 2).alias("n"))
+    return blocks.groupBy("doc_id").agg(F.ceil((F.sum("n") + F.count("*") * 2) / F.lit(4.0)).cast("long").alias("tokens"))
+
+
 def block_tokens(features: DataFrame) -> DataFrame:
     """Estimated tokens of each feature block (proxy count), at least one."""
     line = F.concat(F.lit("F0|12|"), F.col("text_snippet"), F.lit("|.12|B"))

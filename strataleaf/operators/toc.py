@@ -66,8 +66,10 @@ def check_no_existing(bookmarks: DataFrame, force: bool = False) -> DataFrame:
 
 
 def entry_string() -> Column:
-    return F.format_string("%s (page %d, level %d, confidence %s)", "title", "page_number", "level", format_confidence(F.col("confidence")))
+    """An entry as inference logs count it."""
+    return F.format_string("TOCEntry(level=%d, title='%s', page_number=%d, confidence=%s)", "level", "title", "page_number", F.col("confidence").cast("string"))
 
 
 def entry_bullet() -> Column:
-    return F.concat(F.lit("- "), entry_string())
+    """An entry as a line of a prompt."""
+    return F.format_string("- %s (page %d, level %d, confidence %s)", "title", "page_number", "level", format_confidence(F.col("confidence")))

@@ -105,6 +105,11 @@ def toc_bullets(spark, sf_dir):
     return entries_of(spark, sf_dir).select("doc_id", "ordinal", toc.entry_bullet().alias("bullet"))
 
 
+@query(f"""WITH {ENTRIES_SQL} SELECT doc_id, ordinal, concat('TOCEntry(level=', level, ', title=''', title, ''', page_number=', page_number, ', confidence=', confidence::VARCHAR, ')') AS entry FROM entries""")
+def toc_strings(spark, sf_dir):
+    return entries_of(spark, sf_dir).select("doc_id", "ordinal", toc.entry_string().alias("entry"))
+
+
 @query("""SELECT l_orderkey AS doc_id, count(*) AS n_entries FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') = 0""")
 def toc_existing_guard(spark, sf_dir):
     docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
@@ -267,6 +272,20 @@ def serialize_features(spark, sf_dir):
     return serialize.serialize(features_of(spark, sf_dir))
 
 
+FEATURE_STRING_SQL = """fstrings AS (SELECT *, concat('(', page_number, ', ''', font_name, ''', ', font_size::VARCHAR, ', ', text_length, ', ''', text_snippet, '''', coalesce(', y=' || y_position::VARCHAR, ''),
+  CASE WHEN is_bold THEN ', bold=True' WHEN NOT is_bold THEN ', bold=False' ELSE '' END, ')') AS s FROM features)"""
+
+
+@query(f"WITH {FEATURES_SQL}, {FEATURE_STRING_SQL} SELECT doc_id, phase, block_ix, s FROM fstrings")
+def feature_strings(spark, sf_dir):
+    return features_of(spark, sf_dir).select("doc_id", "phase", "block_ix", serialize.feature_string().alias("s"))
+
+
+@query(f"WITH {FEATURES_SQL}, {FEATURE_STRING_SQL} SELECT doc_id, ceil((sum(length(s) + 4) + 2 * count(*)) / 4.0::DOUBLE)::BIGINT AS tokens FROM fstrings GROUP BY 1")
+def feature_list_tokens(spark, sf_dir):
+    return serialize.feature_list_tokens(features_of(spark, sf_dir))
+
+
 @query(f"""WITH {FEATURES_SQL} SELECT doc_id, page_number, phase, block_ix, greatest(1, ceil(length(concat('P1:', chr(10), 'F0|12|', text_snippet, '|.12|B')) / 4.0))::BIGINT AS tokens FROM features""")
 def block_token_estimates(spark, sf_dir):
     return serialize.block_tokens(features_of(spark, sf_dir))
@@ -619,6 +638,11 @@ def rename_merge(spark, sf_dir):
     return rename.merge(_ops(spark, sf_dir))
 
 
+@query(f"WITH {OPS_SQL} SELECT ordinal, concat('RenameOp(''', input_filename, ''' -> ''', output_filename, ''', confidence=', confidence::VARCHAR, ')') AS op FROM ops")
+def rename_strings(spark, sf_dir):
+    return _ops(spark, sf_dir).select("ordinal", rename.operation_string().alias("op"))
+
+
 @query(f"""WITH {OPS_SQL}, c AS (SELECT *, round({d.round_exact('confidence', 2)} * 100)::BIGINT AS n FROM ops)
 SELECT ordinal, input_filename, output_filename, concat(n // 100, '.', lpad((n % 100)::VARCHAR, 2, '0')) AS confidence, CASE WHEN ops.confidence >= 0.9 THEN 'green' WHEN ops.confidence >= 0.7 THEN 'yellow' ELSE 'red' END AS colour,
 CASE WHEN length(reasoning) > 50 THEN substr(reasoning, 1, 50) || '...' ELSE reasoning END AS reasoning FROM c AS ops""")
