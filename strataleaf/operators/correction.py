@@ -22,8 +22,10 @@ from strataleaf.functions.text import (
     strip,
     without_appendix,
 )
+from strataleaf.operators.matching import containment_join
 
 #: Zones of a page, from its top at 0 to its bottom at 1.
+PAGES_TOGETHER = 16
 HEADER_Y, SEARCH_TOP, SEARCH_BOTTOM, LOWER_HALF = 0.05, 0.06, 0.95, 0.5
 
 
@@ -108,10 +110,10 @@ def restore_pages(refined: DataFrame, original: DataFrame) -> DataFrame:
     exact = first.select("doc_id", "level", F.col("key").alias("r_key"), F.col("orig_page").alias("exact_page"))
     wanted = wanted.join(exact, ["doc_id", "level", "r_key"], "left")
     short, long = F.least(F.length("key"), F.length("r_key")), F.greatest(F.length("key"), F.length("r_key"))
-    fits = (short >= FUZZY_MIN) & (F.col("r_key").contains(F.col("key")) | F.col("key").contains(F.col("r_key"))) & (short / long >= FUZZY_RATIO)
+    fits = (short >= FUZZY_MIN) & (short / long >= FUZZY_RATIO)
     open_ = wanted.where("exact_page IS NULL").select("doc_id", "level", "r_key").distinct()
     fuzzy = (
-        open_.join(first.select("doc_id", "level", "key", "orig_page", "met", "first"), ["doc_id", "level"])
+        containment_join(open_, first.select("doc_id", "level", "key", "orig_page", "met", "first"), ["doc_id", "level"], "r_key", "key")
         .where(fits)
         .groupBy("doc_id", "level", "r_key")
         .agg(F.min_by("orig_page", F.struct((-(short / long)).alias("r"), "met", "first")).alias("fuzzy_page"))
@@ -129,7 +131,10 @@ def nearest_heading(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     titled = _title_forms(wanted).where(F.length("norm") >= HEADING_MIN)
     reach = F.abs(F.col("_page") - F.col("hint_page"))
     inside = (F.col("_page") >= F.col("start_page")) & (F.col("_page") < F.col("end_page")) & (reach <= F.col("end_page") - F.col("start_page"))
-    hits = titled.join(body, "doc_id").where(inside & _matches())
+    # Pages and windows meet in stretches of so many pages, not all of a document with all.
+    stretch = lambda c: F.floor(c / PAGES_TOGETHER)
+    windows = titled.where("end_page > start_page").withColumn("_s", F.explode(F.sequence(stretch(F.col("start_page")), stretch(F.col("end_page") - 1))))
+    hits = windows.join(body.withColumn("_s", stretch(F.col("_page"))), ["doc_id", "_s"]).where(inside & _matches())
     return hits.groupBy("doc_id", "ordinal").agg(F.min_by("_page", F.struct(reach.alias("d"), (F.col("_page") < F.col("hint_page")).alias("before"))).alias("found_page"))
 
 

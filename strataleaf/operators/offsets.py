@@ -18,6 +18,7 @@ from strataleaf.functions.text import (
     titles_match,
     toc_like_lines,
 )
+from strataleaf.operators.matching import containment_join
 
 #: Fixed values.
 REFERENCE_PAGES, UNFILTERED_PAGES = 20, 3
@@ -49,7 +50,9 @@ def reference_offset(printed: DataFrame, entries: DataFrame) -> DataFrame:
     Each line takes its first matching entry, and counts if that lies three pages behind or more.
     """
     normal = entries.select("doc_id", F.col("ordinal").alias("entry_no"), "page_number", normalize_snippet(F.col("title")).alias("e_norm"))
-    pairs = printed.join(normal, "doc_id").where(titles_match(F.col("norm"), F.col("e_norm")))
+    # Matching titles are equal or one within the other; titles_match() then asks for enough of it.
+    near = containment_join(printed.select("doc_id", "line_no", "printed_page", "norm"), normal, ["doc_id"], "norm", "e_norm")
+    pairs = near.where(titles_match(F.col("norm"), F.col("e_norm")))
     taken = pairs.groupBy("doc_id", "line_no", "printed_page").agg(F.min_by("page_number", "entry_no").alias("page_number"))
     offsets = taken.withColumn("offset", F.col("page_number") - F.col("printed_page")).where(F.col("offset") >= SIGNIFICANT)
     counted = offsets.groupBy("doc_id", "offset").agg(F.count("*").alias("n"), F.min("line_no").alias("met"))
