@@ -55,16 +55,19 @@ DIGIT_WORDS = {
 }
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: A run of spelled digits, at least four, with plain digits between them allowed.
-_SPELLED = re.compile(rf"(?i)\b{_WORD}(?:[\x20,-]{{0,2}}(?:\b{_WORD}\b|[0-9])){{3,}}")
+_SPELLED = re.compile(rf"(?i)\b{_WORD}(?:[\x20,().-]{{0,3}}(?:\b{_WORD}\b|[0-9])){{3,}}")
 _SPELLED_ONE = re.compile(rf"(?i)\b{_WORD}\b|[0-9]")
 _PLUS = re.compile(rf"(?i)\bplus[\x20]+(?=[0-9]|{_WORD}\b)")
-_AT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:at|@|arroba|chez)[\x20]{0,3}[\])}>][\x20]{0,3}|&#64;|&commat;|%40")
-_DOT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>][\x20]{0,3}|&#46;|&period;")
+_AT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:at|@|arroba|chez)[\x20]{0,3}[\])}>][\x20]{0,3}|&#64;|&commat;|%40|(?<=[a-z0-9])[_-]at[_-](?=[a-z0-9])|(?<=[a-z0-9])[\x20]@[\x20](?=[a-z0-9])")
+_DOT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>][\x20]{0,3}|&#46;|&period;|(?<=[a-z0-9])[_-]dot[_-](?=[a-z0-9])")
 _SAID = re.compile(r"(?i)[A-Za-z0-9._%+-]+[\x20]{1,3}(at|arroba)[\x20]{1,3}[A-Za-z0-9-]+(?:(?:[\x20]{1,3}dot[\x20]{1,3}|\.)[A-Za-z0-9-]+)*[\x20]{1,3}dot[\x20]{1,3}[A-Za-z]{2,}\b")
 _SAID_PART = re.compile(r"(?i)[\x20]{1,3}(at|arroba|dot)(?=[\x20])[\x20]{1,3}")
 _SPELLED_DOT = re.compile(r"(?i)(?<=[0-9])[\x20]{1,3}(?:dot|point|punkt|punto)[\x20]{1,3}(?=[0-9])")
+#: A number in which letters stand for digits: at least one digit and one such letter, and nothing else.
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]+[OoIl]|[OoIl]+[0-9])[0-9OoIl]*(?![A-Za-z0-9])")
+_LETTER_DIGITS = str.maketrans("OoIl", "0011")
 _ODD = re.compile(r"[^\x00-\x7f¡-¬®-ɏ一-鿿가-힣぀-ヿ]")
-_SIGNS = re.compile(r"(?i)[\[({<][\x20]{0,3}(?:at|@|arroba|chez|dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>]|&#(?:64|46);|&commat;|&period;|%40|\bdot\b|\bplus[\x20]")
+_SIGNS = re.compile(r"(?i)[\[({<][\x20]{0,3}(?:at|@|arroba|chez|dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>]|&#(?:64|46);|&commat;|&period;|%40|\bdot\b|\bplus[\x20]|[_-](?:at|dot)[_-]|[\x20]@[\x20]")
 
 
 def _folded(c: str) -> str:
@@ -108,7 +111,8 @@ def rewritten(text: str) -> Rewritten | None:
     """The text as the transducers leave it; None if they change nothing."""
     odd = not text.isascii() and _ODD.search(text)
     spelled = _SPELLED.search(text)
-    if not (odd or spelled or _SIGNS.search(text)):
+    mixed = _MIXED.search(text)
+    if not (odd or spelled or mixed or _SIGNS.search(text)):
         return None
     out = Rewritten(text)
     if odd:
@@ -118,6 +122,8 @@ def rewritten(text: str) -> Rewritten | None:
     for pattern, new in ((_AT, "@"), (_DOT, ".")):
         if edits := [(m.start(), m.end(), new) for m in pattern.finditer(out.text)]:
             out.replace(edits)
+    if edits := [(m.start() + i, m.start() + i + 1, new) for m in _MIXED.finditer(out.text) for i, (c, new) in enumerate(zip(m[0], m[0].translate(_LETTER_DIGITS), strict=True)) if c != new]:
+        out.replace(edits)
     edits = []
     for m in _SAID.finditer(out.text):
         for p in _SAID_PART.finditer(out.text, m.start(), m.end()):

@@ -212,6 +212,11 @@ def test_base_spans_equal_brute_force(spark):
         ("card 4111​1111​1111​1111 end", "card", "4111​1111​1111​1111"),
         ("card ４１１１１１１１１１１１１１１１", "card", "４１１１１１１１１１１１１１１１"),
         ("they met at noon and one two", "email", None),
+        ("mail john_at_example_dot_com now", "email", "john_at_example_dot_com"),
+        ("mail john @ example.com now", "email", "john @ example.com"),
+        ("call +1 (two zero three) five five five-eight two eight two", "phone", "+1 (two zero three) five five five-eight two eight two"),
+        ("call +1 2O3 555 82l2 now", "phone", "+1 2O3 555 82l2"),
+        ("host 1O.2.3.4 is", "ip", "1O.2.3.4"),
     ],
 )
 def test_deobfuscation(text, kind, found):
