@@ -4,8 +4,9 @@
    with equal sets form a class, and only the class's least document goes on.
 2. The shingles of a set are hashed into as many groups as let every linked pair
    agree on some whole group: sets of x and y shingles with Jaccard similarity of
-   at least t differ in at most (x+y)(1-t)/(1+t) shingles, hence in no more groups. The contents of a group are its key, so linked classes meet under a
-   key; where the agreement is on empty groups only, triples of these are keys.
+   at least t differ in at most (x+y)(1-t)/(1+t) shingles, hence in no more groups.
+   The contents of a group are its key, so linked classes meet under a key; where
+   the agreement is on empty groups only, triples of these are keys.
 3. Under each key the classes are points - their shingle counts in 512 other
    groups - of an R-tree. The overlap of two sets is at most the sum of the
    lesser coordinates, and with a node's largest coordinates the same bounds
@@ -264,7 +265,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     threshold = Threshold(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(_mapped(docs, width, {"n": SIZE, "digest": DIGEST}), "described")
+    described = written(_mapped(docs, width, {"n": SIZE, "digest": DIGEST, "point": POINT}), "described")
     classes = written(described.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A class goes on as its least document. A document that is the least of no class is left out; one id may have several texts.
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
@@ -282,8 +283,8 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     )
     members = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "c", "least", "rep").distinct(), "members")
     candidates = written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    described_points = _mapped(only_ids(docs, candidates, "doc_id"), width, {"n": SIZE, "point": POINT})
-    points = written(described_points.select(F.col("doc_id").alias("rep"), "n", "point").distinct(), "points")
+    points = only_ids(described.where("n > 0").select("doc_id", "n", "point"), candidates, "doc_id")
+    points = written(points.select(F.col("doc_id").alias("rep"), "n", "point").distinct(), "points")
     first = members.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = _linked(written(_bounded(first, points, threshold), "pairs"), docs, width, threshold)
     joined = components(links)
