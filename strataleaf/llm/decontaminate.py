@@ -12,8 +12,9 @@ over the documents, so the automaton that is sent to the executors is bounded.
 
 Defined results: a null or empty text matches nothing; an item without letters
 or digits matches nothing; repeated documents are reported each (equal rows
-once); items of equal text are reported each; extra columns are ignored; an
-empty table on either side gives an empty result (nothing is dropped).
+once); items of equal text are reported each; rows of one item_id with several
+texts are each looked for, and the id is reported with the least distance; extra
+columns are ignored; an empty table on either side gives an empty result (nothing is dropped).
 """
 
 from __future__ import annotations
@@ -74,9 +75,10 @@ class Matcher:
         import ahocorasick
 
         self.parts: list[tuple[int, str, int, dict[str, int]]] = []
-        self.parts_of: dict[int, int] = {}
+        self.ids = [item_id for item_id, _ in items]
+        self.parts_of: list[int] = []  # by row: one id may have several texts
         pieces: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
+        for row, (_, text) in enumerate(items):
             whole = normal(text or "")
             n = -(-len(whole) // PART_CHARS)
             for k in range(n):
@@ -87,8 +89,8 @@ class Matcher:
                 for j in range(budget + 1):
                     a, b = len(part) * j // (budget + 1), len(part) * (j + 1) // (budget + 1)
                     pieces.setdefault(part[a:b], []).append((len(self.parts), b))
-                self.parts.append((item_id, part, budget, masks))
-            self.parts_of[item_id] = n
+                self.parts.append((row, part, budget, masks))
+            self.parts_of.append(n)
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, places)
@@ -104,7 +106,7 @@ class Matcher:
         done: dict[int, int] = {}
         for end, places in self.automaton.iter(t):
             for part, b in places:
-                item_id, pattern, budget, masks = self.parts[part]
+                _, pattern, budget, masks = self.parts[part]
                 if found.get(part) == 0 or end < done.get(part, -1):
                     continue
                 begin = end + 1 - b - budget
@@ -120,7 +122,11 @@ class Matcher:
         held: dict[int, list[int]] = {}
         for part, d in found.items():
             held.setdefault(self.parts[part][0], []).append(d)
-        return {i: sum(ds) for i, ds in held.items() if len(ds) == self.parts_of[i]}
+        least: dict[int, int] = {}
+        for row, ds in held.items():
+            if len(ds) == self.parts_of[row]:
+                least[self.ids[row]] = min(sum(ds), least.get(self.ids[row], sum(ds)))
+        return least
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
