@@ -5,7 +5,9 @@ blanks are joined. An item of m characters has an error budget of
 floor(error_rate * m) edits and is split into budget-plus-one pieces: wherever
 an item occurs within its budget, one piece occurs exactly. Piece hits are found
 in one pass over each whole text (Aho-Corasick) and the text around a hit is
-verified with Myers' bit-parallel distance.
+verified with Myers' bit-parallel distance, first for the hit piece with its
+neighbour, then for twice as many pieces, up to the whole item with its whole
+budget, whatever its length.
 
 Items are read in blocks of at most block_items rows; each block is one pass
 over the documents, so the automaton that is sent to the executors is bounded.
@@ -29,8 +31,6 @@ from strataleaf.llm.frames import slices
 
 ERROR_RATE = 0.08
 BLOCK_ITEMS = 20_000
-#: Beyond this many characters an item is matched in parts, each with its own budget; keeps masks and pieces small.
-PART_CHARS = 2_000
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SCHEMA = "doc_id long, item_id long, distance long"
 
@@ -68,29 +68,66 @@ def distance_within(pattern: str, masks: dict[str, int], text: str, most: int) -
     return best if best <= most else None
 
 
+class Piece:
+    """A stretch of an item that is split into so many pieces, in a tree: the item is the root, single pieces are leaves.
+
+    A stretch of n pieces may hold n - 1 edits. If it does, one of its halves of x and y pieces
+    holds x - 1 or y - 1 at most, and so on down to a piece without an edit; upwards from
+    that piece each stretch is within its own budget, the item included.
+    """
+
+    __slots__ = ("begin", "budget", "masks", "row", "seen", "text", "up")
+
+    def __init__(self, text: str, begin: int, budget: int, row: int, up: Piece | None):
+        self.text, self.begin, self.budget, self.row, self.up = text, begin, budget, row, up
+        self.masks: dict[str, int] | None = None
+        self.seen: tuple[int, int, int, int | None] = (-1, 0, 0, None)  # text number, window that was searched, distance found
+
+    def distance(self, number: int, text: str, start: int) -> int | None:
+        """Least distance, if within budget, near where the stretch would start; start is of the whole item."""
+        at, budget, m = start + self.begin, self.budget, len(self.text)
+        lo, hi = max(0, at - budget), min(len(text), at + m + budget)
+        held, a, b, d = self.seen
+        if held == number and a <= lo and hi <= b:
+            return d
+        # Wider than asked for, so that hits of other pieces of the same place need no search of their own.
+        lo, hi = max(0, lo - budget), min(len(text), hi + budget)
+        window = text[lo:hi]
+        if self.text in window:
+            d = 0
+        elif not budget:
+            d = None
+        else:
+            if self.masks is None:
+                self.masks = {}
+                for i, c in enumerate(self.text):
+                    self.masks[c] = self.masks.get(c, 0) | 1 << i
+            d = distance_within(self.text, self.masks, window, budget)
+        self.seen = (number, lo, hi, d)
+        return d
+
+
 class Matcher:
     """Automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.parts: list[tuple[int, str, int, dict[str, int]]] = []
         self.ids = [item_id for item_id, _ in items]
-        self.parts_of: list[int] = []  # by row: one id may have several texts
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        self.texts = 0
+        pieces: dict[str, list[tuple[Piece, int]]] = {}
         for row, (_, text) in enumerate(items):
             whole = normal(text or "")
-            n = -(-len(whole) // PART_CHARS)
-            for k in range(n):
-                part = whole[len(whole) * k // n : len(whole) * (k + 1) // n]
-                budget, masks = int(error_rate * len(part)), {}
-                for i, c in enumerate(part):
-                    masks[c] = masks.get(c, 0) | 1 << i
-                for j in range(budget + 1):
-                    a, b = len(part) * j // (budget + 1), len(part) * (j + 1) // (budget + 1)
-                    pieces.setdefault(part[a:b], []).append((len(self.parts), b))
-                self.parts.append((row, part, budget, masks))
-            self.parts_of.append(n)
+            n = int(error_rate * len(whole)) + 1
+            cuts = [len(whole) * j // n for j in range(n + 1)]
+            stack: list[tuple[int, int, Piece | None]] = [(0, n, None)] if whole else []
+            while stack:
+                i, j, up = stack.pop()
+                node = Piece(whole[cuts[i] : cuts[j]], cuts[i], j - i - 1, row, up)
+                if j - i == 1:
+                    pieces.setdefault(node.text, []).append((node, cuts[j]))
+                else:
+                    stack += [(i, (i + j) // 2, node), ((i + j) // 2, j, node)]
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, places)
@@ -102,31 +139,23 @@ class Matcher:
         if not len(self.automaton):
             return {}
         t = normal(text)
+        self.texts += 1
         found: dict[int, int] = {}
-        done: dict[int, int] = {}
         for end, places in self.automaton.iter(t):
-            for part, b in places:
-                _, pattern, budget, masks = self.parts[part]
-                if found.get(part) == 0 or end < done.get(part, -1):
-                    continue
-                begin = end + 1 - b - budget
-                stop = end + 1 - b + len(pattern) + budget
-                window = t[max(0, begin) : stop]
-                if pattern in window:
-                    found[part] = 0
+            for node, b in places:
+                if found.get(node.row) == 0:
                     continue
-                d = distance_within(pattern, masks, window, budget)
+                d: int | None = 0
+                up = node.up
+                while up is not None and d is not None:
+                    d = up.distance(self.texts, t, end + 1 - b)
+                    up = up.up
                 if d is not None:
-                    found[part] = min(d, found.get(part, d))
-                    done[part] = stop - budget  # later pieces of the same occurrence
-        held: dict[int, list[int]] = {}
-        for part, d in found.items():
-            held.setdefault(self.parts[part][0], []).append(d)
-        least: dict[int, int] = {}
-        for row, ds in held.items():
-            if len(ds) == self.parts_of[row]:
-                least[self.ids[row]] = min(sum(ds), least.get(self.ids[row], sum(ds)))
-        return least
+                    found[node.row] = min(d, found.get(node.row, d))
+        held: dict[int, int] = {}
+        for row, d in found.items():
+            held[self.ids[row]] = min(d, held.get(self.ids[row], d))
+        return held
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:

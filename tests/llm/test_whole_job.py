@@ -1,4 +1,7 @@
+import random
+
 from strataleaf.llm import decontaminate
+from test_search_and_text import edit_within
 
 
 def test_every_text_of_an_item_id_is_looked_for(spark):
@@ -8,3 +11,37 @@ def test_every_text_of_an_item_id_is_looked_for(spark):
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()}
     assert got == {(1, 7, 0), (1, 8, 0), (2, 7, 0), (3, 7, 0), (3, 8, 1)}
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [4]
+
+
+def test_long_items_have_one_budget():
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(900))[:4000].strip()
+    near = list(item)
+    for k in rng.sample(range(2000), 200):  # all in one half: within 320 for the whole, beyond 160 for the half
+        near[k] = rng.choice("xyz")
+    far = list(item)
+    for k in rng.sample(range(len(item)), 400):
+        far[k] = rng.choice("xyz")
+    matcher = decontaminate.Matcher([(7, item)], decontaminate.ERROR_RATE)
+    assert matcher.find(f"before {''.join(near)} after") == {7: 200}
+    assert matcher.find("".join(far)) == {}
+    assert matcher.find(f"{item[2000:]} {item[:2000]}") == {}  # its halves in the wrong order are not the item
+
+
+def test_distance_is_the_least_of_all_places():
+    rng = random.Random(8)
+    for _ in range(300):
+        items = [(i % 3, "".join(rng.choice("abcd") for _ in range(rng.choice([3, 13, 30, 60])))) for i in range(5)]
+        text = ""
+        for _ in range(3):
+            copy = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, len(copy) // 10 + 1)):
+                k = rng.randrange(len(copy))
+                copy[k : k + 1] = rng.choice([["a"], [copy[k], "b"], [copy[k], "c"]])
+            text += "".join(copy) + rng.choice(["", "a", "bcd"])
+        want = {}
+        for i, x in items:
+            e = edit_within(x, text)
+            if e <= int(decontaminate.ERROR_RATE * len(x)):
+                want[i] = min(e, want.get(i, e))
+        assert decontaminate.Matcher(items, decontaminate.ERROR_RATE).find(text) == want
