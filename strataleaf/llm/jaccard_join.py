@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataleaf.llm.components import components
@@ -331,13 +331,21 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents but one of each component, all columns as they were.
 
-    The least doc_id of a component stays. Rows that repeat an id leave the row of least text.
+    The least doc_id of a component stays. Where ids are missing or repeat, rows are
+    documents of their own: they go only for what their own text is near to, and of a
+    component the row of least doc_id (none last), then least text, stays.
     """
-    groups = written(join(docs, width, percent), "groups")
-    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    kept = without_ids(docs, gone, "doc_id")
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    if not again.limit(1).count():
-        return kept
-    least = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")])
-    return kept.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    if not ids.where("rows > 1 OR doc_id IS NULL").limit(1).count():
+        groups = written(join(docs, width, percent), "groups")
+        gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+        return without_ids(docs, gone, "doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("doc_id").asc_nulls_last()
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    # Ranges are cut by the beginnings of texts, since bounds are sampled to the driver; rows with one beginning lie in one range.
+    ordered = docs.repartitionByRange(parts, first, F.substring("text", 1, 64)).sortWithinPartitions(first, "text", *rest)
+    numbered = written(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = written(join(numbered.select(F.col("__row").alias("doc_id"), "text"), width, percent), "groups")
+    gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("__row")), "gone")
+    return without_ids(numbered, gone, "__row").drop("__row")

@@ -1,6 +1,6 @@
 import random
 
-from strataleaf.llm import decontaminate
+from strataleaf.llm import decontaminate, jaccard_join
 from test_search_and_text import edit_within
 
 
@@ -45,3 +45,13 @@ def test_distance_is_the_least_of_all_places():
             if e <= int(decontaminate.ERROR_RATE * len(x)):
                 want[i] = min(e, want.get(i, e))
         assert decontaminate.Matcher(items, decontaminate.ERROR_RATE).find(text) == want
+
+
+def test_rows_without_or_with_one_id_go_by_their_texts(spark):
+    one, two, three, four = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (7, three), (8, one), (9, four), (None, ""), (None, None), (10, "  "), (10, "")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, lang string")
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns
+    want = [(None, two), (7, three), (7, four), (8, one), (None, ""), (None, None), (10, "  "), (10, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
