@@ -67,7 +67,8 @@ _SPELLED_DOT = re.compile(r"(?i)(?<=[0-9])[\x20]{1,3}(?:dot|point|punkt|punto)[\
 _MIXED = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]+[OoIl]|[OoIl]+[0-9])[0-9OoIl]*(?![A-Za-z0-9])")
 _LETTER_DIGITS = str.maketrans("OoIl", "0011")
 _ODD = re.compile(r"[^\x00-\x7f¡-¬®-ɏ一-鿿가-힣぀-ヿ]")
-_SIGNS = re.compile(r"(?i)[\[({<][\x20]{0,3}(?:at|@|arroba|chez|dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>]|&#(?:64|46);|&commat;|&period;|%40|\bdot\b|\bplus[\x20]|[_-](?:at|dot)[_-]|[\x20]@[\x20]")
+#: The gate: wherever _AT, _DOT, _SAID, _PLUS or _SPELLED_DOT match, this matches too.
+_SIGNS = re.compile(r"(?i)[\[({<][\x20]{0,3}(?:at|@|arroba|chez|dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>]|&#(?:64|46);|&commat;|&period;|%40|\bdot\b|\bplus[\x20]|[_-](?:at|dot)[_-]|[\x20]@[\x20]|[0-9][\x20]{1,3}(?:point|punkt|punto)[\x20]{1,3}[0-9]")
 
 
 def _folded(c: str) -> str:

@@ -1,6 +1,7 @@
 import random
+import re
 
-from strataleaf.llm import decontaminate, jaccard_join
+from strataleaf.llm import decontaminate, jaccard_join, pii
 from test_search_and_text import edit_within
 
 
@@ -55,3 +56,16 @@ def test_rows_without_or_with_one_id_go_by_their_texts(spark):
     assert kept.columns == df.columns
     want = [(None, two), (7, three), (7, four), (8, one), (None, ""), (None, None), (10, "  "), (10, "")]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_gate_of_the_transducers_skips_nothing(monkeypatch):
+    said = ["10 punkt 20 punkt 30 punkt 40", "192 point 168 point 1 point 1", "10  Punto 0 punto 0   punto 255"]
+    for text in said:
+        assert pii.all_spans(text)[1] == [("ip", 0, len(text))]
+        assert pii.redact_text(f"host {text} is") == "host [IP] is"
+    signs = "[at]|(arroba)|< chez >|{@}|&#64;|&commat;|%40|_at_|-AT-| @ | at |[dot]|( punkt )|<point>|{punto}|[.]|&#46;|&period;|_dot_|-dot-| dot | point | punkt | punto |plus |one two three four|1O.2|john|example|com|10|7|.| ".split("|")
+    rng = random.Random(5)
+    texts = said + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    gated = [pii.all_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_SIGNS", re.compile(""))
+    assert [pii.all_spans(t) for t in texts] == gated
