@@ -1,7 +1,7 @@
 import random
 import re
 
-from strataleaf.llm import decontaminate, jaccard_join, pii
+from strataleaf.llm import chat_format, decontaminate, jaccard_join, pii
 from test_search_and_text import edit_within
 
 
@@ -69,3 +69,17 @@ def test_gate_of_the_transducers_skips_nothing(monkeypatch):
     gated = [pii.all_spans(t) for t in texts]
     monkeypatch.setattr(pii, "_SIGNS", re.compile(""))
     assert [pii.all_spans(t) for t in texts] == gated
+
+
+def test_chat_figures_come_from_the_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "bcd"), (1, 2, "assistant", "efg"), (2, 0, "user", "h")]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    right = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    assert (right[1].n_examples, right[1].loss_chars, right[2].n_examples, right[2].loss_chars, right[2].example_chars) == (2, 6, 0, 0, 0)
+    made = chat_format.example_columns
+    names = ["target_ordinal", "context_chars", "loss_start", "loss_length", "target"]
+    for column, field in (("context_chars", "example_chars"), ("loss_start", "loss_sha256"), ("loss_length", "loss_chars")):
+        monkeypatch.setattr(chat_format, "example_columns", lambda c=column: [(x - 1).alias(n) if n == c else x for n, x in zip(names, made(), strict=True)])
+        wrong = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+        assert wrong[1][field] != right[1][field]
+        assert wrong[1].turns_sha256 == right[1].turns_sha256 and wrong[2] == right[2]
