@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path that tasks can open; None (a task's own folder, as for Spark's spills) if it is in a store without paths."""
+    folder = shared_folder(spark)
+    path = folder.removeprefix("file:")
+    return "/" + path.lstrip("/") if folder.startswith("file:") or "://" not in folder else None
+
+
 def written(df: DataFrame, name: str, partitioned: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest so many bytes of a number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one.
+_LONG = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,46 +26,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        if size > 1 << 22:  # a very long text: not kept
-            return _table(size)
-        _POWERS[size] = _table(size)
-    return _POWERS[size]
-
-
-def _table(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def _prefix(raw: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) times its power, before each byte and after the last."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=out[1:])
-    return out
-
-
-def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums before each byte and after the last, and the inverse powers: (sums[b] - sums[a]) * back[a] stands for raw[a:b]."""
-    up, down = power_tables(len(raw))
-    return _prefix(raw, up), down
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number (a view; zeros follow the end)."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
 def substring_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hash of each substring of so many bytes."""
+    """64-bit hash of each substring of so many bytes.
+
+    Built up by doubling, mixed at each step: sums of powers, which are cheaper, have fixed
+    collisions modulo 2**64 (texts that follow the Thue-Morse sequence).
+    """
     n = len(raw) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = power_tables(len(raw))
-    sums = _prefix(raw, up)
-    return mixed((sums[length:] - sums[:n]) * down[:n])
+    held = min(length, 8)
+    h = mixed((_eights(raw)[: len(raw) - held + 1] & _LOWEST[held]) + _SEED)
+    while held < length:
+        step = min(held, length - held)
+        h = mixed(h[: len(h) - step] * _FACTOR + h[step:])
+        held += step
+    return h
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each given span, eight bytes at a time; very long ones by BLAKE2."""
+    eights, out = _eights(raw), mixed(sizes.astype(np.uint64) + _SEED)
+    open_ = np.flatnonzero((sizes > 0) & (sizes <= _LONG))
+    done = 0
+    while len(open_):
+        left = sizes[open_] - done
+        out[open_] = mixed(out[open_] * _FACTOR + (eights[starts[open_] + done] & _LOWEST[np.minimum(left, 8)]))
+        done += 8
+        open_ = open_[left > 8]
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        digest = hashlib.blake2b(raw[starts[k] : starts[k] + sizes[k]].tobytes(), digest_size=8).digest()
+        out[k] = np.frombuffer(digest, np.uint64)[0]
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +74,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not blank[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
-    up, down = power_tables(len(raw))
-    sums = _prefix(raw, up)
-    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words = span_hashes(raw, starts, ends - starts)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, bounds)]))
     return words, counts
@@ -87,7 +88,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     if n >= width:
         rolled = np.zeros(n - width + 1, np.uint64)
         for k in range(width):
-            rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + words[k : n - width + 1 + k]
+            rolled = rolled * _FACTOR + words[k : n - width + 1 + k]
         rolled = mixed(rolled)
     for c in counts.tolist():
         if c >= width:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -77,6 +78,21 @@ def test_join_equals_brute_force(spark, width, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want}) and kept.columns == df.columns
 
 
+def thue_morse(n):
+    """Words that sums of powers modulo 2**64 cannot tell apart, whatever the base."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_words_apart(spark):
+    one, other = thue_morse(2048)
+    df = spark.createDataFrame([(1, one), (2, other), (3, f"{one} b c d e"), (4, f"{other} b c d e")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.join(df).collect()) == [(d, d) for d in (1, 2, 3, 4)]
+    rows = [(1, one), (2, other), (3, one)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows, 100)
+
+
 def test_join_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.representatives(empty).count() == 0
@@ -143,17 +159,46 @@ def test_components(spark):
     assert got == {(x, find(x)) for e in edges for x in e if e[0] != e[1]}
 
 
-@pytest.mark.parametrize("memory", [0, 1 << 28])
-def test_induced_order_and_prefixes(memory):
-    rng = np.random.default_rng(memory % 97)
-    for n, k in [(2, 1), (5, 2), (40, 1), (60, 2), (200, 3), (300, 40), (400, 2)]:
-        text = np.concatenate([rng.integers(1, k + 1, n), [0]]).astype(np.uint16)
-        order, shared = induced_sort.suffix_order(text, 10**6, True, memory)
-        suffixes = [tuple(text[i:].tolist()) for i in range(len(text))]
-        assert order.tolist() == sorted(range(len(text)), key=lambda i: suffixes[i])
-        for a, b, s in zip(order, order[1:], shared[1:], strict=False):
-            n_same = next(i for i, (x, y) in enumerate(zip(suffixes[a], suffixes[b], strict=False)) if x != y)
-            assert s == min(n_same, induced_sort.CAP)
+def held_against_brute_force(text, scratch=None):
+    order, shared = induced_sort.suffix_order(text, scratch)
+    suffixes = [tuple(text[i:].tolist()) for i in range(len(text))]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: suffixes[i])
+    for a, b, s in zip(order, order[1:], shared[1:], strict=False):
+        n_same = next(i for i, (x, y) in enumerate(zip(suffixes[a], suffixes[b], strict=False)) if x != y)
+        assert s == min(n_same, induced_sort.CAP)
+
+
+@pytest.mark.parametrize(("memory", "most", "block"), [(0, 1 << 15, 1 << 17), (1 << 20, 8, 16), (300, 1, 4), (0, 40, 5)])
+def test_induced_order_and_prefixes(monkeypatch, memory, most, block):
+    monkeypatch.setattr(induced_sort, "RANGE", most)
+    monkeypatch.setattr(induced_sort, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for trial in range(24):
+        n, k = int(rng.integers(2, 300)), int(rng.choice([1, 2, 3, 5, 40, 3000]))
+        base = rng.integers(1, k + 1, n)
+        if trial % 3 == 0:
+            base = np.tile(base[: max(1, n // 7)], 7)
+        held_against_brute_force(np.append(base, 0).astype(np.uint16), induced_sort.Scratch(None, memory, memory))
+    for base in (np.ones(600), np.tile([3, 1, 2], 200), np.tile(np.append(np.full(280, 5), 1), 3)):
+        held_against_brute_force(np.append(base, 0).astype(np.uint16))
+
+
+def test_sort_keeps_to_its_memory():
+    """A string of ten times the bounds: what does not fit goes to files, and memory stays near the bounds."""
+    rng, bound = np.random.default_rng(3), 1 << 17
+    words = [rng.integers(1, 30, rng.integers(3, 300)) for _ in range(400)]
+    text = np.append(np.concatenate([words[i] for i in rng.integers(0, 400, 5_000)])[: 5 * bound], 0).astype(np.uint16)
+    scratch = induced_sort.Scratch(None, bound, bound)
+    tracemalloc.start()
+    order, shared = induced_sort.suffix_order(text, scratch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scratch.mapped > 10 * bound and scratch.spilled > 10 * bound and peak < 24 << 20
+    at = rng.integers(1, len(text), 2000)
+    for i, j, s in zip(order[at - 1].tolist(), order[at].tolist(), shared[at].tolist(), strict=True):
+        assert text[i : i + s].tolist() == text[j : j + s].tolist()
+        assert s == induced_sort.CAP or text[i + s] < text[j + s]
+    assert len(np.unique(order)) == len(text)
 
 
 def brute_dedup(rows, length):
@@ -199,6 +244,28 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     assert sum(len(p) - 99 for _, p in parts) == len(raw) - 99 and all(raw[a : a + len(p)] == p for a, p in parts)
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = [text(n) for n in (30, 60, 95, 99, 130)]
+    rows = [(d, text(rng.choice([0, 3, 80])) + rng.choice(lines) + rng.choice(["", "q", text(90)]) + rng.choice(lines)) for d in range(300)]
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 300)
+    passes = []
+    real = substring_dedup._finer
+    monkeypatch.setattr(substring_dedup, "_finer", lambda *a: passes.append(a[3]) or real(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.removed_windows(df, 100, 28, 300).collect()
+    assert len(passes) > 2
+    starts = {(r.doc_id, k) for r in got for k in range(r.a, r.b + 1)}
+    seen, want = set(), set()
+    for d, t in rows:
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                want.add((d, k))
+            seen.add(t[k : k + 100])
+    assert starts == want and len(want) > 1000
+
+
 def test_dedup_query(spark):
     from strataleaf.llm import registry
 
