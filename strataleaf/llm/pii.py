@@ -21,22 +21,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataleaf.llm.frames import slices
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: An email's characters before the at sign, and what follows it.
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # From the second digit of a run on, a match fails or succeeds as it does from the first.
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_LINE_LIMIT = 4096
 
 #: Look-alikes of ASCII letters in Cyrillic and Greek.
 LOOKALIKES = dict(
@@ -60,7 +64,7 @@ _SPELLED_ONE = re.compile(rf"(?i)\b{_WORD}\b|[0-9]")
 _PLUS = re.compile(rf"(?i)\bplus[\x20]+(?=[0-9]|{_WORD}\b)")
 _AT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:at|@|arroba|chez)[\x20]{0,3}[\])}>][\x20]{0,3}|&#64;|&commat;|%40|(?<=[a-z0-9])[_-]at[_-](?=[a-z0-9])|(?<=[a-z0-9])[\x20]@[\x20](?=[a-z0-9])")
 _DOT = re.compile(r"(?i)[\x20]{0,3}[\[({<][\x20]{0,3}(?:dot|punkt|point|punto|\.)[\x20]{0,3}[\])}>][\x20]{0,3}|&#46;|&period;|(?<=[a-z0-9])[_-]dot[_-](?=[a-z0-9])")
-_SAID = re.compile(r"(?i)[A-Za-z0-9._%+-]+[\x20]{1,3}(at|arroba)[\x20]{1,3}[A-Za-z0-9-]+(?:(?:[\x20]{1,3}dot[\x20]{1,3}|\.)[A-Za-z0-9-]+)*[\x20]{1,3}dot[\x20]{1,3}[A-Za-z]{2,}\b")
+_SAID = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[\x20]{1,3}(at|arroba)[\x20]{1,3}[A-Za-z0-9-]+(?:(?:[\x20]{1,3}dot[\x20]{1,3}|\.)[A-Za-z0-9-]+)*[\x20]{1,3}dot[\x20]{1,3}[A-Za-z]{2,}\b")
 _SAID_PART = re.compile(r"(?i)[\x20]{1,3}(at|arroba|dot)(?=[\x20])[\x20]{1,3}")
 _SPELLED_DOT = re.compile(r"(?i)(?<=[0-9])[\x20]{1,3}(?:dot|point|punkt|punto)[\x20]{1,3}(?=[0-9])")
 #: A number in which letters stand for digits: at least one digit and one such letter, and nothing else.
@@ -94,18 +98,19 @@ class Rewritten:
     """A text with the source range of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.lo, self.hi = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.lo = text, np.arange(len(text), dtype=np.int32)
+        self.hi = self.lo + 1
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """edits: (start, end, new) in the present text, in order, not overlapping; all of new comes from the range."""
         text, lo, hi, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            lo += self.lo[at:a] + [self.lo[a]] * len(new)
-            hi += self.hi[at:a] + [self.hi[b - 1]] * len(new)
+            lo += [self.lo[at:a], np.full(len(new), self.lo[a], np.int32)]
+            hi += [self.hi[at:a], np.full(len(new), self.hi[b - 1], np.int32)]
             at = b
         self.text = "".join([*text, self.text[at:]])
-        self.lo, self.hi = lo + self.lo[at:], hi + self.hi[at:]
+        self.lo, self.hi = np.concatenate([*lo, self.lo[at:]]), np.concatenate([*hi, self.hi[at:]])
 
 
 def rewritten(text: str) -> Rewritten | None:
@@ -156,19 +161,22 @@ def _luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Only lines with an at sign are searched; a match holds no line break."""
-    at = text.find("@")
+    """Read outwards from each at sign, which neither side of a match can hold, so each character is read twice at most."""
+    done, at = 0, text.find("@")
     while at >= 0:
-        begin = text.rfind("\n", 0, at) + 1
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        if end - begin > _LINE_LIMIT:  # a long line: from the last blank before the sign
-            begin = max(begin, text.rfind(" ", begin, at) + 1)
-            blank = text.find(" ", at, end)
-            end = blank if blank >= 0 else end
-        for m in _EMAIL.finditer(text, begin, end):
-            yield m.span()
-        at = text.find("@", end)
+        begin, step = at, 64
+        while begin > done:
+            low = max(done, begin - step)
+            begin = low + len(text[low:begin].rstrip(_LOCAL))
+            if begin > low:
+                break
+            step *= 2
+        if begin < at and (m := _DOMAIN.match(text, at + 1)):
+            done = m.end()
+            yield begin, done
+        else:
+            done = at + 1
+        at = text.find("@", done)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -195,11 +203,13 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     new = rewritten(text)
     if new is None:
         return base, base
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    taken = {k: ([a for kind, a, _ in base if kind == k], [b for kind, _, b in base if kind == k]) for k in KINDS}
     extra = []
     for kind, a, b in base_spans(new.text):
-        lo, hi = new.lo[a], new.hi[b - 1]
-        if all(hi <= x or lo >= y for x, y in taken[kind]):
+        lo, hi = int(new.lo[a]), int(new.hi[b - 1])
+        starts, ends = taken[kind]
+        k = bisect_right(starts, lo)  # spans of a kind lie apart, in order
+        if (not k or ends[k - 1] <= lo) and (k == len(starts) or starts[k] >= hi):
             extra.append((kind, lo, hi))
     return base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
