@@ -4,9 +4,10 @@ A text is reduced to lower-case letters and blanks; hashed counts of byte pairs
 and of runs of four bytes, as shares of the text, are its features. One-versus-
 one linear SVMs first choose the language family, then others, trained within
 that family only, choose the language. The SVMs are fitted on the driver on at
-most per_language documents of each language (those of least hash, a documented
-bound); their weights are a few hundred kilobytes and are sent to the executors,
-where a text's score is a sum of looked-up weights over the whole text.
+most per_language documents of each language and at most `sample` in all (those of
+least hash; documented bounds: with very many languages each has fewer). Which
+ones is decided from hashes, without their texts. The weights of a handful of
+languages are a few hundred kilobytes and are sent to the executors, where a text's score is a sum of looked-up weights over the whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 with nothing to learn from every text is `und`; with a single learned language
@@ -17,18 +18,19 @@ result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataleaf.llm.frames import slices
 
 PER_LANGUAGE = 300
+SAMPLE = 4800
 BITS = 13
 SCALE = 100.0
 UNDETERMINED = "und"
@@ -43,7 +45,8 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode category L, as in fit().
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,16 +135,20 @@ class Model:
         return lang, p * q
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Model from labelled documents that are not held out; None if there are none."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> DataFrame:
+    """lang, text of the documents to learn from: labelled, not held out, each different row once."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    least = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"))
-        .withColumn("r", F.row_number().over(least))
-        .where(F.col("r") <= per_language)
-        .select("lang", "text")
-    )
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # Each task sends at most so many hashes of a language on; texts are fetched for the chosen ones alone.
+    first = labelled.select("lang", "h").groupBy("lang", "h").agg(F.lit(1)).select("lang", "h")
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+    chosen = ranked.orderBy("r", "h", "lang").limit(sample).select("lang", "h")
+    found = labelled.join(F.broadcast(chosen), ["lang", "h"])  # at most `sample` rows of two short values
+    return found.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Model from training_rows(); None if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -151,7 +158,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 ["lang", "slots", "shares"],
             )
 
-    rows = chosen.mapInArrow(run, "lang string, slots array<int>, shares array<float>").toArrow()
+    rows = training_rows(docs, per_language, sample).mapInArrow(run, "lang string, slots array<int>, shares array<float>").toArrow()
     if not rows.num_rows:
         return None
     x = np.zeros((rows.num_rows, 2 << BITS), np.float32)
