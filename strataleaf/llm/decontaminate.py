@@ -7,7 +7,8 @@ an item occurs within its budget, one piece occurs exactly. Piece hits are found
 in one pass over each whole text (Aho-Corasick) and the text around a hit is
 verified with Myers' bit-parallel distance, first for the hit piece with its
 neighbour, then for twice as many pieces, up to the whole item with its whole
-budget, whatever its length.
+budget, whatever its length. An item too short for any edit counts only as whole
+words ("yes" is not in "blue eyes").
 
 Items are read in blocks of at most block_items rows; each block is one pass
 over the documents, so the automaton that is sent to the executors is bounded.
@@ -68,6 +69,11 @@ def distance_within(pattern: str, masks: dict[str, int], text: str, most: int) -
     return best if best <= most else None
 
 
+def _apart(text: str, begin: int, end: int) -> bool:
+    """Whether words begin and end there."""
+    return (not begin or text[begin - 1] == " ") and (end == len(text) or text[end] == " ")
+
+
 class Piece:
     """A stretch of an item that is split into so many pieces, in a tree: the item is the root, single pieces are leaves.
 
@@ -147,6 +153,8 @@ class Matcher:
                     continue
                 d: int | None = 0
                 up = node.up
+                if up is None and not _apart(t, end + 1 - len(node.text), end + 1):
+                    continue
                 while up is not None and d is not None:
                     d = up.distance(self.texts, t, end + 1 - b)
                     up = up.up
