@@ -3,8 +3,9 @@
 A text is reduced to a canonical word string: A-Z lower-cased, copyright lines
 dropped, everything but a-z and 0-9 turned into one space, equivalent spellings
 replaced. The SHA-256 of the whole canonical text is hash-joined to the digests
-of known licences. The known side has one row per catalogue entry, so its size
-is bounded by the catalogue and it is broadcast.
+of known licences: of texts held here, with and without their titles, and of
+longer ones whose digest is held. The known side has one row per catalogue entry,
+so its size is bounded by the catalogue and it is broadcast.
 
 Defined results: a null text counts as empty; an empty canonical text has the
 digest of the empty string and no licence; repeated rows stay repeated; two
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A line that states a holder or a year; "the above copyright notice" is none.
+#: A line that states a holder or a year, or that all rights are reserved; "the above copyright notice" is none.
 COPYRIGHT_LINE = (
-    r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|©|[0-9]|year)|\(c\)[^a-z0-9\n]*[0-9]|©)[^\n]*"
+    r"^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:c\)|©|[0-9]|year|yyyy)|copyright [^\n]*\b[12][0-9][0-9][0-9]\b"
+    r"|\(c\)[^a-z0-9\n]*[0-9]|©|all rights reserved[^a-z0-9\n]*$)[^\n]*"
 )
 #: Spellings that licence-matching practice treats as equal.
 EQUIVALENT_WORDS = (
@@ -46,6 +48,7 @@ EQUIVALENT_WORDS = (
     ("organisation", "organization"),
     ("programme", "program"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("wilful", "willful"),
 )
 #: Licence texts and one-line notices, as published.
@@ -86,6 +89,20 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -106,6 +123,23 @@ TITLES = {
     "BSD-2-Clause": "BSD 2-Clause License",
     "BSD-3-Clause": "BSD 3-Clause License",
     "Zlib": "zlib License",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+#: SHA-256 of the canonical forms of long texts as published, titles and appendices included.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+    "GFDL-1.3": "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
 }
 
 
@@ -137,11 +171,19 @@ def known_digests(spark, known: dict[str, str] | None = None) -> DataFrame:
         spark.range(1)
         .select(F.explode(F.array(*entries)).alias("e"))
         .select("e.license_id", F.sha2(canonical(F.col("e.t")).cast("binary"), 256).alias("license_digest"))
+        .unionByName(_given(spark, KNOWN_DIGESTS if known is None else {}))
         .groupBy("license_digest")
         .agg(F.min("license_id").alias("license_id"))
     )
 
 
+def _given(spark, digests: dict[str, str]) -> DataFrame:
+    if not digests:
+        return spark.createDataFrame([], "license_id string, license_digest string")
+    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("license_digest")) for k, v in digests.items()))
+    return spark.range(1).select(F.inline(rows))
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row per input row: id, canonical length, digest and licence (null if unknown)."""
     c = canonical(F.col("text"))
@@ -173,10 +215,12 @@ def sql_canonical(column: str) -> str:
 def oracle() -> str:
     """DuckDB SQL for scan() over documents."""
     values = ", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in catalogue())
+    digests = ", ".join(f"({_sql_text(v)}, {_sql_text(k)})" for k, v in KNOWN_DIGESTS.items())
     return f"""
 WITH known AS (
-  SELECT sha256({sql_canonical('t')}) AS license_digest, min(license_id) AS license_id
-  FROM (VALUES {values}) AS v(license_id, t) GROUP BY 1),
+  SELECT license_digest, min(license_id) AS license_id
+  FROM (SELECT sha256({sql_canonical('t')}) AS license_digest, license_id FROM (VALUES {values}) AS v(license_id, t)
+        UNION ALL SELECT * FROM (VALUES {digests}) AS d(license_digest, license_id)) GROUP BY 1),
 canon AS (SELECT doc_id, {sql_canonical('text')} AS c FROM documents)
 SELECT doc_id, length(c)::BIGINT AS canonical_chars, sha256(c) AS license_digest, license_id
 FROM canon LEFT JOIN known ON known.license_digest = sha256(c)"""

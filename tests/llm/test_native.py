@@ -1,5 +1,8 @@
 import hashlib
+import os
+import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from strataleaf.llm import chat_format, license_scan
@@ -60,10 +63,32 @@ def test_licences(spark):
         "word " * 50_000,
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license_id string")
-    got = {r.doc_id: r.license_id for r in license_scan.scan(df.drop("license_id")).collect()}
+    got = {r.doc_id: r.license_id for r in license_scan.scan(df).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: None, 3: "GPL-3.0-notice", 4: "MIT-notice", 5: None, 6: None, 7: None}
     assert license_scan.scan(df.unionByName(df)).count() == 16 and license_scan.scan(df.where("false")).count() == 0
 
 
 def test_known_digests_are_distinct(spark):
-    assert license_scan.known_digests(spark).count() == len(license_scan.KNOWN_LICENSES) + len(license_scan.TITLES)
+    assert license_scan.known_digests(spark).count() == len(license_scan.KNOWN_LICENSES) + len(license_scan.TITLES) + len(license_scan.KNOWN_DIGESTS)
+
+
+def test_scan_and_sql_on_texts_that_match(spark, tmp_path):
+    """Each known text, dressed up, is found by the scan and by its SQL, and its neighbours are not."""
+    known = {k: v for k, v in license_scan.KNOWN_LICENSES.items()}
+    rows, want = [], {}
+    heads = ["", "Copyright (c) 2020 Some Body\n\n", "Copyright 1999-2024 A. N. Other and others\nAll rights reserved.\n\n", "Copyright Jane Doe, 2011.\n", "(c) 2003 X\n"]
+    for k, v in known.items():
+        for head in heads:
+            rows += [(len(rows), head + re.sub(r"\b(sub)?license\b", r"\1licence", v).upper()), (len(rows) + 1, f"{head}{v} indeed")]
+            want |= {len(rows) - 2: k, len(rows) - 1: None}
+    for path, k in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if os.path.exists(f"/usr/share/common-licenses/{path}"):
+            rows.append((len(rows), open(f"/usr/share/common-licenses/{path}").read().replace("\n", " \n")))
+            want[len(rows) - 1] = k
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in license_scan.scan(df).collect()}
+    assert {r[0]: r[3] for r in got} == want
+    con = duckdb.connect()
+    df.write.parquet(f"{tmp_path}/d")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert set(con.execute(license_scan.oracle()).fetchall()) == got

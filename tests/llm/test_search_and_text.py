@@ -1,7 +1,9 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -80,19 +82,61 @@ def test_html_edges(html, want):
     assert html_extract.main_text(html) == want
 
 
+def article_text(html):
+    """The text between the generator's own article tags, by plain patterns, with nothing of the operator."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", html, re.S)[1]
+    inner = re.sub(r"<br\s*/?>", " ", re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>", "", inner, flags=re.S))
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|th|blockquote|pre|section|figure|figcaption)\b[^>]*>", inner)
+    texts = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", x))).strip() for x in parts)
+    return "\n\n".join(t for t in texts if t)
+
+
 def test_html_articles(spark):
-    """On the generated pages the article's blocks, found by its own tags alone, are the main text."""
-    pages = table(spark, SF, "pages")
+    """On the generated pages the main text is the article, with its tags and without them, in wrappers and in a form."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
     html = {r.page_id: r.html for r in pages.collect()}
     got = html_extract.extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(got) == len(html)
     for r in got:
-        article = re.search(r"<article[^>]*>(.*?)</article>", html[r.page_id], re.S)[1]
-        assert r.text == "\n\n".join(html_extract.blocks(html_extract.parse(article))) and r.n_chars == len(r.text)
+        want = article_text(html[r.page_id])
+        assert r.text == want and r.n_chars == len(r.text)
         plain = html[r.page_id].replace("article>", "div>")
-        assert html_extract.main_text(plain) == r.text
-    empty = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
-    assert [(r.text, r.n_chars) for r in html_extract.extract(empty).collect()] == [("", 0)]
+        for page in (plain, plain.replace("<body>", '<body><div class="page no-sidebar has-menu">'), plain.replace("<body>", "<body><form id=f><input name=x>")):
+            assert html_extract.main_text(page) == want
+    empty = spark.createDataFrame([(1, None, None), (1, None, None)], "page_id long, url string, html string")
+    assert [(r.text, r.n_chars) for r in html_extract.extract(empty).collect()] == [("", 0)] * 2
+    assert html_extract.extract(empty.where("false")).count() == 0
+
+
+LONG = "A sentence of the article that is long enough to be told from all the rest of the page. "
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<div class="page no-sidebar"><h1>T</h1><p>{LONG}</p></div>', ["T", LONG.strip()]),
+        (f'<div class="content with-sidebar"><p>{LONG}</p><div class="sidebar"><p>Side</p></div></div>', [LONG.strip()]),
+        (f"<form><h2>T</h2><p>{LONG}</p><input><label>Mail</label></form>", ["T", LONG.strip()]),
+        (f"<main><h1>T</h1><p>{LONG}</p></main><form><p>Your name please</p></form>", ["T", LONG.strip()]),
+        (f'<p class="legal">{LONG}</p><p>{LONG}</p>', [LONG.strip()] * 2),
+        (f'<p title="5" tall">{LONG}</p>', [LONG.strip()]),
+        (f"<p title='a > b' x=\"</p>\">{LONG}</p>", [LONG.strip()]),
+        (f"<main><h1>T</h1><p>{LONG}</p><div class=x1><h3>3 Comments</h3><p>{LONG * 3}</p><p>{LONG * 3}</p></div></main>", ["T", LONG.strip()]),
+        (f"<main><h1>T</h1><p>{LONG}</p><p>{LONG}</p><h2>Reader comments</h2><div><p>{LONG * 3}</p></div></main>", ["T", LONG.strip(), LONG.strip()]),
+        (f'<div><h1>T</h1><p>{LONG}</p></div><div id="comments"><p>{LONG * 9}</p><p>{LONG * 9}</p></div>', ["T", LONG.strip()]),
+        (f'<div class="cookie-banner"><p>{LONG}</p></div><h1>T</h1><p>{LONG}</p><p>{LONG}</p>', ["T", LONG.strip(), LONG.strip()]),
+        (f"<p>{LONG}</p><a href=\"never closed><p>gone</p>", [LONG.strip()]),
+    ],
+)
+def test_html_wrappers_and_markup(html, want):
+    assert html_extract.main_text(html).split("\n\n") == want
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 60_000 + "</x>" * 60_000 + "t", "<b>" * 60_000 + "<p>x" * 60_000, "<h2>comments" * 50_000, "<!--" * 200_000, "<" * 500_000, "<header>" * 60_000, "<p x='" * 100_000, "<b>" * 50_000 + "<header></header>" * 50_000])
+def test_hostile_pages_take_linear_time(html):
+    began = time.process_time()
+    html_extract.main_text(html)
+    assert time.process_time() - began < 20
 
 
 def test_language_accuracy_on_held_out(spark):
@@ -125,8 +169,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_ids_are_those_of_tokenizers(spark):
     tokens = Tokenizer.from_file(VOCABULARY)
-    tokens.encode_special_tokens = True
-    texts = [r.text for r in table(spark, SF, "documents").collect()] + ["", "<|endoftext|> x", "  \n\t é 日本 🙂" * 30, "x" * 5000, "1234567890" * 200, "'s 're don't"]
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + ["", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext|", "  \n\t é 日本 🙂" * 30, "x" * 5000, "1234567890" * 200, "'s 're don't"]
     encode = packing.encoder(VOCABULARY)
     assert [encode(t) for t in texts] == [e.ids for e in tokens.encode_batch(texts, add_special_tokens=False)]
 
@@ -192,10 +235,19 @@ def test_base_spans_equal_brute_force(spark):
     texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
     texts += ["".join(rng.choice("a1.2+@ -()3\n4.5") for _ in range(300)) for _ in range(300)]
     texts += ["x " * 5000 + "a@b.c " + "y " * 5000, "1" * 3000, "1.2.3.4.5.6.7.8", "a@b@c.d", "4111 1111 1111 1111", "+49 (30) 1234-567"]
+    texts += ["".join(rng.choice("a@.b- ") for _ in range(60)) for _ in range(2000)]
     for t in texts:
         assert pii.base_spans(t) == brute_base(t), t[:80]
 
 
+@pytest.mark.parametrize("unit", ["a", "a.", "1.", "1 ", "@", "a@", "a at ", "é at ", "plus 1 ", "one ", "1O", "+1 ", "a@b.co ", "é[dot]"])
+def test_very_long_texts_take_linear_time(unit):
+    text = "é" + unit * (1_000_000 // len(unit)) + "@"
+    began = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "found"),
     [

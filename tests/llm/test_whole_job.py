@@ -39,15 +39,24 @@ def test_distance_is_the_least_of_all_places():
             for _ in range(rng.randint(0, len(copy) // 10 + 1)):
                 k = rng.randrange(len(copy))
                 copy[k : k + 1] = rng.choice([["a"], [copy[k], "b"], [copy[k], "c"]])
-            text += "".join(copy) + rng.choice(["", "a", "bcd"])
+            text += "".join(copy) + rng.choice(["", "a", "bcd", " ", " "])
+        text = text.strip()
         want = {}
         for i, x in items:
             e = edit_within(x, text)
+            if not int(decontaminate.ERROR_RATE * len(x)):  # whole words only
+                e = 0 if f" {x} " in f" {text} " else 1
             if e <= int(decontaminate.ERROR_RATE * len(x)):
                 want[i] = min(e, want.get(i, e))
         assert decontaminate.Matcher(items, decontaminate.ERROR_RATE).find(text) == want
 
 
+def test_short_items_are_whole_words():
+    matcher = decontaminate.Matcher([(1, "Yes!"), (2, "no way")], decontaminate.ERROR_RATE)
+    assert matcher.find("blue eyes, eyes and yesterday; no ways") == {}
+    assert matcher.find("Oh yes. There is NO WAY") == {1: 0, 2: 0} and matcher.find("yes") == {1: 0}
+
+
 def test_rows_without_or_with_one_id_go_by_their_texts(spark):
     one, two, three, four = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
     rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (7, three), (8, one), (9, four), (None, ""), (None, None), (10, "  "), (10, "")]
