@@ -314,7 +314,26 @@ def even_sample(spark, sf_dir):
     return serialize.even_sample(rows, ["source"], ["doc_id", "line_no"], 37)
 
 
-@query(None)
+# One span a block and fewer than ten fonts, so renumbered fonts leave a line's length as it is.
+BATCHES_SQL = f"""{FEATURES_SQL}, {SERIAL_SQL},
+blk AS (SELECT doc_id, page_number, regexp_replace(font_name, '^[A-Z]{{6}}[+]', '') AS font, line, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, phase, block_ix) - 1 AS at_,
+  greatest(1, ceil(length(concat('P1:', chr(10), 'F0|12|', text_snippet, '|.12|B')) / 4.0))::BIGINT AS c FROM flines),
+tails AS (SELECT e.doc_id, e.at_, k, b.* EXCLUDE (doc_id, at_, c) FROM blk e, (VALUES (1), (2)) AS ks(k), blk b WHERE b.doc_id = e.doc_id AND b.at_ >= e.at_ - k AND b.at_ < e.at_),
+said AS (SELECT doc_id, at_, k, ceil((6 + 1 + sum(DISTINCT_FONTS) + sum(1 + length(line)) + sum(DISTINCT_PAGES)) / 4.0)::BIGINT AS n FROM (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, at_, k, font) = 1 THEN 4 + length(font) ELSE 0 END AS DISTINCT_FONTS,
+    CASE WHEN row_number() OVER (PARTITION BY doc_id, at_, k, page_number) = 1 THEN 3 + length(page_number::VARCHAR) ELSE 0 END AS DISTINCT_PAGES FROM tails) GROUP BY ALL),
+fold AS (
+  SELECT doc_id, at_, 0::BIGINT AS first, c AS used, NULL::BIGINT AS done_first, NULL::BIGINT AS done_end FROM blk WHERE at_ = 0
+  UNION ALL
+  SELECT b.doc_id, b.at_, CASE WHEN f.used + b.c > 60 AND b.at_ > f.first THEN greatest(f.first, b.at_ - 2) ELSE f.first END,
+    b.c + CASE WHEN f.used + b.c > 60 AND b.at_ > f.first THEN m.n ELSE f.used END,
+    CASE WHEN f.used + b.c > 60 AND b.at_ > f.first THEN f.first END, CASE WHEN f.used + b.c > 60 AND b.at_ > f.first THEN b.at_ END
+  FROM fold f JOIN blk b ON b.doc_id = f.doc_id AND b.at_ = f.at_ + 1 LEFT JOIN said m ON m.doc_id = b.doc_id AND m.at_ = b.at_ AND m.k = least(2, b.at_ - f.first)),
+ranges AS (SELECT doc_id, done_first AS first, done_end AS "end" FROM fold WHERE done_end IS NOT NULL
+  UNION ALL SELECT doc_id, first, at_ + 1 FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY at_ DESC) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {BATCHES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY "end") AS batch_ix, first, "end" FROM ranges""")
 def feature_batches(spark, sf_dir):
     return batching.feature_batches(serialize.feature_lines(features_of(spark, sf_dir)), batching.FEATURE_OVERHEAD + 60, 2)
 
@@ -481,6 +500,93 @@ def nearest_heading(spark, sf_dir):
     return correction.nearest_heading(wanted, blocks)
 
 
+@query(f"""WITH {BLOCK_FORMS_SQL},
+counts AS (SELECT doc_id, max(page_number) AS page_count FROM placed GROUP BY 1),
+w AS (SELECT t.doc_id, ordinal, title, norm, norm_without, page_number + 2 AS hint, greatest(1, page_number + 2 - 4) AS s, least(page_count, page_number + 2 + 4) AS e_ FROM titled t JOIN counts c ON c.doc_id = t.doc_id),
+hits AS (SELECT w.doc_id, w.ordinal, c.page_number AS p, abs(c.page_number - hint) AS reach, c.page_number < hint AS before FROM w JOIN cand c ON c.doc_id = w.doc_id AND c.page_number BETWEEN s AND e_
+  AND length(w.norm) >= 8 AND c.y BETWEEN 0.06 AND 0.95 AND {d.heading_matches('w.title', 'w.norm', 'w.norm_without', 'c.cand_norm', 'c.cand_title')}),
+best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY reach, before) = 1)
+SELECT w.doc_id, w.ordinal, title, coalesce(p, hint) AS page_number FROM w LEFT JOIN best ON best.doc_id = w.doc_id AND best.ordinal = w.ordinal""")
+def verified_pages(spark, sf_dir):
+    entries, blocks = _entries_and_blocks(spark, sf_dir)
+    counts = blocks.groupBy("doc_id").agg(F.max("page_number").alias("page_count"))
+    shifts = counts.select("doc_id", F.lit(4).alias("offset"))
+    return correction.verify_pages(entries.withColumn("page_number", F.col("page_number") + 2), shifts, blocks, counts)
+
+
+# ---- Books: the lines of a source as pages of six blocks of seven lines of up to three spans; some blocks are images ----
+
+BOOK_FONTS = ("ABCDEF+Serif", "Sans-Bold", "Mono")
+BOOK_SQL = f"""{LINES_SQL},
+numbered AS (SELECT row_number() OVER (PARTITION BY source ORDER BY lines.doc_id, line_no) - 1 AS n, replace(source, 'src', '')::BIGINT AS doc_id, line FROM lines JOIN documents ON documents.doc_id = lines.doc_id),
+pieces AS (SELECT *, unnest([0, 1, 2]) AS k, unnest([substr(line, 1, 20), substr(line, 21, 20), substr(line, 41)]) AS text FROM numbered),
+spans AS (SELECT doc_id, n // 42 + 1 AS page_number, ((n // 7) % 6)::INT AS block_ix, (n % 7)::INT AS line_ix, k::INT AS span_ix, ((n // 7) % 11 = 3) AS image, text,
+  ['ABCDEF+Serif', 'Sans-Bold', 'Mono'][(n + k) % 3 + 1] AS font, (8 + (n // 7) % 5 * 2)::DOUBLE AS size, (n % 42 + 1) AS y0, n % 13 = 0 OR (n + k) % 3 = 1 AS bold FROM pieces WHERE k = 0 OR text <> '')"""
+BOOK_FEATURES_SQL = f"""{BOOK_SQL},
+early AS (SELECT *, {d.round_exact('y0 / 45.0::DOUBLE', 2)} AS y FROM spans WHERE block_ix < 3 AND line_ix < 5 AND NOT image),
+counted AS (SELECT doc_id, font, size, count(*) AS n, min((page_number, block_ix, line_ix, span_ix)) AS met FROM early GROUP BY ALL),
+body AS (SELECT doc_id, size AS body_size FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, met) = 1),
+joined AS (SELECT doc_id, page_number, block_ix, any_value(size) AS size, any_value(y0) AS y0, arg_min(font, span_ix) AS font, arg_min(bold, span_ix) AS first_bold, bool_or(bold) AS bold,
+  {d.squeeze(d.strip("string_agg(" + d.strip('text') + ", ' ' ORDER BY span_ix)"))} AS text FROM spans WHERE block_ix >= 3 AND line_ix = 0 AND NOT image GROUP BY ALL),
+late AS (SELECT * FROM (SELECT joined.*, body_size, {d.round_exact('y0 / 45.0::DOUBLE', 2)} AS y FROM joined LEFT JOIN body USING (doc_id))
+  WHERE {d.is_heading('substr(text, 1, 50)', 'size', 'first_bold', 'body_size', '(CASE WHEN y > 0.6::DOUBLE THEN 1.15::DOUBLE ELSE 1.2::DOUBLE END)')}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_ix) <= 3),
+features AS (
+  SELECT doc_id, page_number, 1 AS phase, block_ix, line_ix, span_ix, font AS font_name, size AS font_size, length(text)::INT AS text_length, substr(text, 1, 50) AS text_snippet, y AS y_position, bold AS is_bold FROM early
+  UNION ALL SELECT doc_id, page_number, 2, block_ix, 0, 0, font, size, length(text)::INT, substr(text, 1, 50), y, bold FROM late)"""
+
+
+def book_spans(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = source.lines_from_documents(docs.select("doc_id", "text")).join(docs.select("doc_id", "source"), "doc_id")
+    at = Window.partitionBy("source").orderBy("doc_id", "line_no")
+    numbered = lines.select(F.regexp_replace("source", "src", "").cast("long").alias("doc_id"), (F.row_number().over(at) - 1).alias("n"), "line")
+    parts = F.array(F.substring("line", 1, 20), F.substring("line", 21, 20), F.expr("substring(line, 41)"))
+    n, k = F.col("n"), F.col("k")
+    # A page is a row of nested blocks, as parsers give them, and goes through the source's own reading.
+    spans = numbered.select("doc_id", "n", F.posexplode(parts).alias("k", "text")).where((k == 0) | (F.col("text") != "")).select(
+        "doc_id",
+        "n",
+        "k",
+        F.struct(
+            F.element_at(F.array(*map(F.lit, BOOK_FONTS)), ((n + k) % 3 + 1).cast("int")).alias("font"),
+            (8 + F.floor(n / 7) % 5 * 2).cast("double").alias("size"),
+            "text",
+            F.struct(F.lit(0.0).alias("x0"), (n % 42 + 1).cast("double").alias("y0"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1")).alias("bbox"),
+            F.when(n % 13 == 0, 16).otherwise(0).alias("flags"),
+        ).alias("span"),
+    )
+    ordered = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    rows = spans.groupBy("doc_id", "n").agg(ordered("k", "span").alias("spans")).select("doc_id", "n", F.floor(n / 7).alias("b"), F.struct("spans").alias("line"))
+    blocks = rows.groupBy("doc_id", "b").agg(ordered("n", "line").alias("lines")).select("doc_id", "b", F.struct((F.col("b") % 11 == 3).cast("int").alias("type"), "lines").alias("block"))
+    pages = blocks.groupBy("doc_id", (F.floor(F.col("b") / 6) + 1).alias("page_number")).agg(F.lit(45.0).alias("height"), ordered("b", "block").alias("blocks"))
+    return source.spans_from_pages(pages)
+
+
+@query(f"WITH {BOOK_FEATURES_SQL} SELECT * FROM features")
+def book_features(spark, sf_dir):
+    return features.extract(book_spans(spark, sf_dir))
+
+
+@query(f"""WITH {BOOK_FEATURES_SQL},
+met AS (SELECT doc_id, regexp_replace(font_name, '^[A-Z]{{6}}[+]', '') AS font, min((page_number, phase, block_ix, line_ix, span_ix)) AS met FROM features GROUP BY ALL),
+fonts AS (SELECT doc_id, font, row_number() OVER (PARTITION BY doc_id ORDER BY met) - 1 AS font_no FROM met),
+flines AS (SELECT features.*, concat_ws('|', concat('F', font_no), {d.format_size('font_size')}, text_snippet, {d.format_y('y_position')}, CASE WHEN is_bold THEN 'B' END) AS line
+  FROM features JOIN fonts ON fonts.doc_id = features.doc_id AND font = regexp_replace(font_name, '^[A-Z]{{6}}[+]', '')),
+p AS (SELECT doc_id, page_number, concat('P', page_number, ':', chr(10), string_agg(line, chr(10) ORDER BY phase, block_ix, line_ix, span_ix)) AS t FROM flines GROUP BY doc_id, page_number),
+b AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY page_number) AS body FROM p GROUP BY 1),
+f AS (SELECT doc_id, string_agg(concat('F', font_no::VARCHAR, '=', font), chr(10) ORDER BY font_no) AS head FROM fonts GROUP BY 1)
+SELECT doc_id, concat('FONTS:', chr(10), head, chr(10), chr(10), body) AS text FROM b JOIN f USING (doc_id)""")
+def book_serialized(spark, sf_dir):
+    return serialize.serialize(features.extract(book_spans(spark, sf_dir)))
+
+
+@query(f"""WITH {BOOK_SQL}, l AS (SELECT doc_id, page_number, block_ix, line_ix, string_agg(text, '' ORDER BY span_ix) AS t FROM spans GROUP BY ALL)
+SELECT doc_id, page_number, string_agg(t, chr(10) ORDER BY block_ix, line_ix) AS text FROM l GROUP BY ALL""")
+def book_text(spark, sf_dir):
+    return source.plain_text(book_spans(spark, sf_dir))
+
+
 # ---- Restored pages: titles of web pages against their first bold text ----
 
 RESTORE_SQL = f"""orig AS (SELECT page_id % 20 AS doc_id, page_id AS ordinal, trim(regexp_extract(html, '<h1>([^<]*)', 1)) AS title, page_id AS page_number, 1 AS level FROM pages),
