@@ -38,10 +38,11 @@ def test_exact_search_equals_brute_force(spark):
     rows += [(i, rows[7][1]) for i in range(2000, 2300)]  # very many equal vectors
     rows += [(3000, None), (3001, [0.0] * 6), (3100, [float("nan")] * 6), (3200, [1.0, None]), (3300, []), (3400, [1.0, 2.0]), (3500, [2.0, 2.0]), (None, [1.0] * 6), (100, [9.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = {}
-    for r in vptree.nearest(df, F.col("vec_id") % 100 == 0, factor=1.0, shard_rows=400).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    assert got == brute_nearest(rows)
+    for shard_rows, least in ((400, 64), (100, 8), (10_000, 64)):  # regions, many of them, one shard
+        got = {}
+        for r in vptree.nearest(df, F.col("vec_id") % 100 == 0, factor=1.0, shard_rows=shard_rows, region_sample=least).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        assert got == brute_nearest(rows)
     assert vptree.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
@@ -57,6 +58,39 @@ def test_recall_of_the_query(spark):
     assert recall >= 0.9
 
 
+def recall_of(found, want):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(got[q] & {i for _, i in f}) / len(f) for q, f in want.items()])
+
+
+def test_recall_over_several_shards(spark):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    want = brute_nearest([(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()])
+    assert recall_of(vptree.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=300), want) >= 0.9
+
+
+def test_regions_bound_and_prune():
+    """Bounds hold; where vectors lie in clusters, a search compares few of them and a query reaches few regions."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 10
+    vectors = np.concatenate([c + rng.normal(size=(100, 16)) for c in centres])
+    top = vptree.Regions(vectors, 16, 64)
+    bounds, home = top.bounds(vectors)
+    assert top.count > 20 and len(np.unique(home)) == top.count
+    for q in range(0, 4000, 157):
+        d = vptree.distances(vectors[q], vectors)
+        assert bounds[q, home[q]] == 0 and (bounds[q, home] <= d + 1e-9).all()
+        assert (bounds[q] <= np.sort(d)[10]).mean() < 0.5
+    tree = vptree.Tree(np.arange(4000), vectors)
+    exact = tree.search(np.arange(0, 4000, 40), vectors[::40], 10, 1.0)
+    assert tree.compared < 0.5 * 100 * 4000
+    for q, best in zip(range(0, 4000, 40), exact, strict=True):
+        d = vptree.distances(vectors[q], vectors)
+        assert best == sorted((float(x), i) for i, x in enumerate(d) if i != q)[:10]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h2>Site name</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id=main><h1>Head &amp; line</h1><p>First   para&shy;graph
