@@ -53,8 +53,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--ocr-language")
         c.add_argument("--ocr-dpi", type=int)
         c.add_argument("--recogniser", help="page image to text, as module:function")
+        c.add_argument("--renderer", help="bytes and resolution to page images, as module:function")
         if name == "generate-toc":
             c.add_argument("--provider", help="inference, as module:function")
+            c.add_argument("--bookmarks", help="bytes to bookmark rows (level, title, page), as module:function")
             c.add_argument("--refiner", help="second inference pass, as module:function")
             c.add_argument("--postprocess", action="store_true", default=None)
             c.add_argument("--request-delay", type=float)
@@ -102,8 +104,10 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from strataleaf.operators import inference, rename
+    from strataleaf.operators import inference, ocr, rename, toc
     from strataleaf.plans import flows
+    from strataleaf.session import work_folder
+    from strataleaf.sources import pages as source
     from strataleaf.sources import paths as path_source
 
     if args.command == "rename":
@@ -112,10 +116,13 @@ def main(argv: list[str] | None = None) -> int:
             raise SystemExit("rename needs an instruction (--query)")
         spark = SparkSession.builder.getOrCreate()
         listed = spark.createDataFrame(list(enumerate(names, 1)), "ordinal long, path string")
-        with tempfile.TemporaryDirectory() as work:
-            planned = flows.plan_renames(listed, option("query"), load_callable(args.provider), work).orderBy("ordinal").collect()
+        with work_folder(spark) as work:
+            plan = flows.plan_renames(listed, option("query"), load_callable(args.provider), work)
+            planned = plan.orderBy("ordinal").collect()
+            shown = {r.ordinal: r for r in rename.preview(plan).collect()} if {"input_filename", "confidence"} <= set(plan.columns) else {}
         for r in planned:
-            print(f"{r.source} -> {r.target}")
+            seen = shown.get(r.ordinal)
+            print(f"{r.source} -> {r.target}" + (f"  [{seen.confidence}, {seen.colour}] {seen.reasoning}" if seen else ""))
         if not planned or not (option("yes") or input("apply? [y/N] ").strip().lower() == "y"):
             return 0
         results = rename.apply_renames([(r.source, r.target) for r in planned])
@@ -129,13 +136,22 @@ def main(argv: list[str] | None = None) -> int:
     documents, spans = _spans(spark, args.input, args.parser)
     if args.command == "extract-text":
         pages = spans.groupBy("doc_id", "page_number").agg(F.max(F.coalesce(F.trim("text") != "", F.lit(False))).alias("has_text"))
-        images = documents.select("doc_id", F.lit(1).alias("page_number"), F.col("content").alias("image"))
+        dpi = int(option("ocr_dpi", ocr.DPI))
+        if args.renderer:
+            images = source.page_images(documents, load_callable(args.renderer), dpi)
+        else:  # each file is the image of its one page
+            images = documents.select("doc_id", F.lit(1).alias("page_number"), F.col("content").alias("image"))
         found = flows.recognised_text(documents, pages, images, load_callable(args.recogniser), bool(option("force", False)))
         _write(found.withColumnRenamed("page_number", "ordinal"), output, args.input)
         return 0
     provider = load_callable(args.provider) if args.provider else inference.heading_provider
     refiner = load_callable(args.refiner) if option("postprocess") and args.refiner else None
-    with tempfile.TemporaryDirectory() as work:
+    if args.bookmarks and not option("force", False):
+        marked = source.existing_contents(documents, load_callable(args.bookmarks))
+        refused = marked.join(toc.check_no_existing(marked).select("doc_id"), "doc_id", "left_anti").select("path").limit(20).collect()
+        if refused:
+            raise SystemExit("these have a table of contents already (--force replaces it): " + ", ".join(r.path for r in refused))
+    with work_folder(spark) as work:
         _write(flows.generate_contents(spans, provider, work, refiner, delay=float(option("request_delay", 0.0))), output, args.input)
     return 0
 

@@ -1,7 +1,7 @@
 """Greedy batches under a token budget.
 
 The running sum starts anew whenever a batch is full, which no window frame can
-say; rows of one group are folded in order inside one aggregate.
+say; the costs of one group are folded in order, in one pass over two numbers a row.
 """
 
 from __future__ import annotations
@@ -23,19 +23,21 @@ NAME_TOKENS, NAME_OVERHEAD = 50_000, 2_000
 
 def greedy_batches(rows: DataFrame, key: str, order: str, cost: Column, budget: int) -> DataFrame:
     """rows with batch_ix from 1: a new batch begins where the next row would exceed the budget."""
-    state = "named_struct('batch', 1L, 'used', 0L, 'out', cast(array() as array<struct<o:bigint,batch:bigint>>))"
-    grouped = rows.select(key, F.col(order).cast("long").alias("o"), cost.cast("long").alias("c")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "c"))).alias("p"))
-    folded = grouped.select(
-        key,
-        F.expr(
-            f"""aggregate(p, {state}, (s, x) -> named_struct(
-                'batch', if(s.used + x.c > {budget} and s.used > 0, s.batch + 1, s.batch),
-                'used', if(s.used + x.c > {budget} and s.used > 0, x.c, s.used + x.c),
-                'out', array_append(s.out, named_struct('o', x.o, 'batch', if(s.used + x.c > {budget} and s.used > 0, s.batch + 1, s.batch)))),
-                s -> s.out)"""
-        ).alias("out"),
-    )
-    placed = folded.select(key, F.explode("out").alias("b")).select(key, F.col("b.o").alias(order), F.col("b.batch").alias("batch_ix"))
+    kinds = dict(rows.dtypes)
+
+    def run(group: pa.Table) -> pa.Table:
+        batch, used, out = 1, 0, []
+        group = group.sort_by([("o", "ascending"), ("c", "ascending")])
+        for c in group.column("c").to_pylist():
+            c = c or 0
+            if used + c > budget and used > 0:
+                batch, used = batch + 1, 0
+            used += c
+            out.append(batch)
+        return pa.table({key: group.column(key), order: group.column("o"), "batch_ix": pa.array(out, pa.int64())})
+
+    costs = rows.select(key, F.col(order).cast("long").alias("o"), cost.cast("long").alias("c"))
+    placed = costs.groupBy(key).applyInArrow(run, f"`{key}` {kinds[key]}, `{order}` long, batch_ix long")
     return rows.join(placed, [key, order])
 
 

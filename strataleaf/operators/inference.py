@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.functions.text import proxy_tokens
-
 #: Attempts and waits in seconds.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 10.0, 120.0
 #: Class names of errors that a second attempt does not mend.
@@ -80,13 +78,6 @@ def infer(wanted: DataFrame, provider: Provider, schema: str, path: str, delay:
     return kept.select("doc_id", "batch_ix", F.posexplode(F.from_json("answer", schema)).alias("pos", "row")).select("doc_id", "batch_ix", (F.col("pos") + 1).cast("long").alias("ordinal"), "row.*")
 
 
-def estimated_usage(wanted: DataFrame, rows: DataFrame, said) -> DataFrame:
-    """A usage log row for each request: proxy tokens of what was sent and of the rows (said: Column) that came back."""
-    back = rows.groupBy("doc_id", "batch_ix").agg(F.sum(proxy_tokens(said)).alias("output_tokens"))
-    sent = wanted.select("doc_id", "batch_ix", (proxy_tokens(F.col("system")) + proxy_tokens(F.col("text"))).alias("input_tokens"))
-    return sent.join(back, ["doc_id", "batch_ix"], "left").select("doc_id", F.col("batch_ix").alias("ordinal"), "input_tokens", F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"))
-
-
 def heading_provider(system: str, text: str) -> list[dict]:
     """Deterministic stand-in: bold or larger-than-most lines of a compact text become entries, levels by size."""
     page, rows = 1, []

@@ -61,6 +61,29 @@ def parse_files(documents: DataFrame, parser: Callable[[bytes], Iterator[dict]],
     return documents.select("doc_id", "content").mapInPandas(run, PAGE)
 
 
+def existing_contents(documents: DataFrame, reader: Callable[[bytes], list]) -> DataFrame:
+    """doc_id, path, existing_toc: the bookmark rows (level, title, page) that each file already has."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [[{"level": a, "title": b, "page_number": c} for a, b, c in reader(x)] for x in part["content"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "path": part["path"], "existing_toc": found})
+
+    return documents.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, existing_toc array<struct<level:int,title:string,page_number:int>>")
+
+
+def page_images(documents: DataFrame, renderer: Callable[[bytes, int], Iterator[bytes]], dpi: int) -> DataFrame:
+    """doc_id, page_number, image of every page, in the resolution asked for; a page at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for doc_id, content in zip(part["doc_id"], part["content"], strict=True):
+                for n, image in enumerate(renderer(content, dpi), 1):
+                    yield pd.DataFrame({"doc_id": [doc_id], "page_number": [n], "image": [image]})
+
+    return documents.select("doc_id", "content").mapInPandas(run, "doc_id long, page_number int, image binary")
+
+
 def spans_from_pages(pages: DataFrame) -> DataFrame:
     """Span rows of page rows; blocks and lines without spans keep a row with null span_ix, so quotas count them."""
     blocks = pages.select("doc_id", "page_number", F.coalesce("height", F.lit(0.0)).alias("page_height"), F.posexplode("blocks").alias("block_ix", "block"))

@@ -1,13 +1,15 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataleaf import cli, config
-from strataleaf.operators import batching, inference, ocr, rename, usage
+from strataleaf.operators import batching, inference, ocr, rename, toc, usage
 from strataleaf.plans import flows
 from strataleaf.sources import pages as source
+from strataleaf.session import work_folder
 from strataleaf.sources import paths
 from strataleaf.streaming import pages as streams
 from test_features import block, span
@@ -162,6 +164,48 @@ def test_paths(spark, tmp_path):
     assert target.read_text() == "new" and os.stat(target).st_mode & 0o777 == 0o640
 
 
+def a_book(n_pages):
+    span = lambda text, size: {"font": "F", "size": size, "text": text, "bbox": {"x0": 0.0, "y0": 10.0, "x1": 1.0, "y1": 2.0}, "flags": 0}
+    return [{"height": 100.0, "blocks": [{"type": 0, "lines": [{"spans": [span(f"Heading of page {n}", 20.0)]}]}] + [{"type": 0, "lines": [{"spans": [span("plain words", 10.0)]}]}] * 2} for n in range(1, n_pages + 1)]
+
+
+def test_contents_command(spark, tmp_path):
+    """Files through a parser (here json.loads) to entries as JSON lines; the work folder is gone afterwards."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_text(json.dumps(a_book(3)))
+    out = tmp_path / "out"
+    assert cli.main(["generate-toc", str(tmp_path / "in"), str(out), "--parser", "json:loads"]) == 0
+    rows = sorted((json.loads(x) for f in out.glob("part-*.json") for x in f.read_text().splitlines()), key=lambda r: r["ordinal"])
+    assert [(r["title"], r["page_number"], r["level"]) for r in rows] == [(f"Heading of page {n}", n, 1) for n in (1, 2, 3)]
+    with work_folder(spark) as work:
+        spark.range(3).write.parquet(f"{work}/x")
+        assert os.path.exists(f"{work.removeprefix('file:')}/x")
+    assert not os.path.exists(work.removeprefix("file:"))
+
+
+def test_existing_contents_and_page_images(spark):
+    files = spark.createDataFrame([(1, "a", b"x"), (2, "b", b"")], "doc_id long, path string, content binary")
+    marked = source.existing_contents(files, lambda content: [(1, "T", 4)] if content else [])
+    assert [r.path for r in toc.check_no_existing(marked).collect()] == ["b"]
+    assert toc.check_no_existing(marked, force=True).count() == 2
+    made = source.page_images(files, lambda content, dpi: [b"%d" % dpi] * 3 if content else [], 150).orderBy("page_number").collect()
+    assert [(r.doc_id, r.page_number, bytes(r.image)) for r in made] == [(1, n, b"150") for n in (1, 2, 3)]
+
+
+def test_batches_equal_the_fold(spark):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([0, 1, 5, 30, 99, 250])) for k in (1, None, 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, i long, n long")
+    got = {(r.k, r.i): r.batch_ix for r in batching.greedy_batches(df.where("k IS NOT NULL"), "k", "i", F.col("n"), 100).collect()}
+    for k in (1, 3):
+        batch, used = 1, 0
+        for _, i, n in sorted(r for r in rows if r[0] == k):
+            if used + n > 100 and used > 0:
+                batch, used = batch + 1, 0
+            used += n
+            assert got[k, i] == batch
+
+
 def test_stream(spark, tmp_path):
     rows = [r.asDict(recursive=True) for r in pages_df(spark).collect()]
     (tmp_path / "in").mkdir()
