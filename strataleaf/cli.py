@@ -54,10 +54,13 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--ocr-dpi", type=int)
         c.add_argument("--recogniser", help="page image to text, as module:function")
         c.add_argument("--renderer", help="bytes and resolution to page images, as module:function")
+        c.add_argument("--detector", help="documents and pages to doc_id and needs_ocr, as module:function")
         if name == "generate-toc":
             c.add_argument("--provider", help="inference, as module:function")
             c.add_argument("--bookmarks", help="bytes to bookmark rows (level, title, page), as module:function")
             c.add_argument("--refiner", help="second inference pass, as module:function")
+            c.add_argument("--writer", help="bytes and bookmark rows to the document with them, as module:function; without it entries are written as JSON lines")
+            c.add_argument("--vocabulary", help="tokenizers file or encoding that prompts are counted in; without it a quarter of the characters")
             c.add_argument("--postprocess", action="store_true", default=None)
             c.add_argument("--request-delay", type=float)
             c.add_argument("--show-token-usage", action="store_true", default=None)
@@ -67,6 +70,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-q", "--query")
     c.add_argument("-y", "--yes", action="store_true", default=None)
     c.add_argument("--provider", required=True)
+    c.add_argument("--vocabulary")
+    c.add_argument("--request-delay", type=float)
     return p
 
 
@@ -96,6 +101,26 @@ def _write(df, output: str | None, source_path: str) -> None:
         shutil.rmtree(staged, ignore_errors=True)
 
 
+def _write_files(df, output: str | None) -> None:
+    """Files (path, content) into a folder, or over their sources; one is held at a time, none is left half written."""
+    if output:
+        os.makedirs(output, exist_ok=True)
+    for row in df.select("path", "content").toLocalIterator():
+        source_path = row.path.removeprefix("file:")
+        target = os.path.join(output, os.path.basename(source_path)) if output else source_path
+        made, staged = tempfile.mkstemp(prefix="strataleaf-")
+        try:
+            with open(made, "wb") as f:
+                f.write(row.content)
+            if os.path.exists(target):
+                replace_file(staged, target)
+            else:
+                shutil.move(staged, target)
+        finally:
+            if os.path.exists(staged):
+                os.unlink(staged)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     defaults = config.load_defaults(args.config)
@@ -104,7 +129,9 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from strataleaf.operators import inference, ocr, rename, toc
+    from strataleaf.functions.text import proxy_tokens
+    from strataleaf.functions.tokens import text_counter, vocabulary_tokens
+    from strataleaf.operators import batching, inference, ocr, rename, toc
     from strataleaf.plans import flows
     from strataleaf.session import work_folder
     from strataleaf.sources import pages as source
@@ -115,14 +142,13 @@ def main(argv: list[str] | None = None) -> int:
         if not option("query"):
             raise SystemExit("rename needs an instruction (--query)")
         spark = SparkSession.builder.getOrCreate()
+        counted = vocabulary_tokens(args.vocabulary) if args.vocabulary else proxy_tokens
         listed = spark.createDataFrame(list(enumerate(names, 1)), "ordinal long, path string")
         with work_folder(spark) as work:
-            plan = flows.plan_renames(listed, option("query"), load_callable(args.provider), work)
+            plan = flows.plan_renames(listed, option("query"), load_callable(args.provider), work, delay=float(option("request_delay", inference.RENAME_DELAY)), tokens=counted)
             planned = plan.orderBy("ordinal").collect()
-            shown = {r.ordinal: r for r in rename.preview(plan).collect()} if {"input_filename", "confidence"} <= set(plan.columns) else {}
         for r in planned:
-            seen = shown.get(r.ordinal)
-            print(f"{r.source} -> {r.target}" + (f"  [{seen.confidence}, {seen.colour}] {seen.reasoning}" if seen else ""))
+            print(f"{r.source} -> {r.target}  [{r.confidence}, {r.colour}] {r.reasoning}")
         if not planned or not (option("yes") or input("apply? [y/N] ").strip().lower() == "y"):
             return 0
         results = rename.apply_renames([(r.source, r.target) for r in planned])
@@ -141,7 +167,7 @@ def main(argv: list[str] | None = None) -> int:
             images = source.page_images(documents, load_callable(args.renderer), dpi)
         else:  # each file is the image of its one page
             images = documents.select("doc_id", F.lit(1).alias("page_number"), F.col("content").alias("image"))
-        found = flows.recognised_text(documents, pages, images, load_callable(args.recogniser), bool(option("force", False)))
+        found = flows.recognised_text(documents, pages, images, load_callable(args.recogniser), bool(option("force", False)), load_callable(args.detector) if args.detector else None)
         _write(found.withColumnRenamed("page_number", "ordinal"), output, args.input)
         return 0
     provider = load_callable(args.provider) if args.provider else inference.heading_provider
@@ -152,7 +178,13 @@ def main(argv: list[str] | None = None) -> int:
         if refused:
             raise SystemExit("these have a table of contents already (--force replaces it): " + ", ".join(r.path for r in refused))
     with work_folder(spark) as work:
-        _write(flows.generate_contents(spans, provider, work, refiner, delay=float(option("request_delay", 0.0))), output, args.input)
+        delay = float(option("request_delay", inference.TOC_DELAY if args.provider else 0.0))
+        count = text_counter(args.vocabulary) if args.vocabulary else batching.proxy_count
+        entries = flows.generate_contents(spans, provider, work, refiner, delay=delay, count=count)
+        if args.writer:
+            _write_files(source.with_contents(documents, entries, load_callable(args.writer)), output)
+        else:
+            _write(entries, output, args.input)
     return 0
 
 

@@ -11,7 +11,16 @@ GLOBAL = ("model_identifier", "show_token_usage")
 COMMANDS = {
     "generate-toc": (*GLOBAL, "force", "request_delay", "ocr", "ocr_language", "ocr_dpi", "ocr_output", "postprocess", "inplace"),
     "extract-text": ("ocr_language", "ocr_dpi", "force", "inplace"),
-    "rename": (*GLOBAL, "query", "yes"),
+    "rename": (*GLOBAL, "query", "yes", "request_delay"),
+}
+
+
+#: Kinds of values; a whole number may stand for a number.
+KINDS = {
+    **dict.fromkeys(("model_identifier", "ocr_language", "query"), str),
+    **dict.fromkeys(("show_token_usage", "force", "ocr", "ocr_output", "postprocess", "inplace", "yes"), bool),
+    "ocr_dpi": int,
+    "request_delay": float,
 }
 
 
@@ -40,6 +49,9 @@ def defaults_of(settings: dict) -> dict[str, dict]:
         for section, allowed in (("global", GLOBAL), (command, options)):
             if unknown := set(plain[section]) - set(allowed):
                 raise ConfigError(f"unknown setting in {section}: {min(unknown)}")
+            for name, value in plain[section].items():
+                if type(value) is not KINDS[name] and not (KINDS[name] is float and type(value) is int):
+                    raise ConfigError(f"{name} in {section} is to be of type {KINDS[name].__name__}: {value!r}")
         merged = {k: v for k, v in plain["global"].items() if k in options} | plain[command]
         if merged:
             out[command] = merged

@@ -41,10 +41,10 @@ def greedy_batches(rows: DataFrame, key: str, order: str, cost: Column, budget:
     return rows.join(placed, [key, order])
 
 
-def name_batches(names: DataFrame, key: str, order: str, max_tokens: int = NAME_TOKENS) -> DataFrame:
+def name_batches(names: DataFrame, key: str, order: str, max_tokens: int = NAME_TOKENS, tokens: Callable[[Column], Column] = proxy_tokens) -> DataFrame:
     """File names in batches; a name costs its list line."""
     line = F.concat(F.lit("- "), F.col("name"), F.lit("\n"))
-    return greedy_batches(names, key, order, proxy_tokens(line), max_tokens - NAME_OVERHEAD)
+    return greedy_batches(names, key, order, tokens(line), max_tokens - NAME_OVERHEAD)
 
 
 def files_before(batches: DataFrame, key: str) -> DataFrame:

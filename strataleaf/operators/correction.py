@@ -158,6 +158,13 @@ def verify_pages(entries: DataFrame, offsets: DataFrame, blocks: DataFrame, page
     return moved.withColumn("page_number", F.coalesce("found_page", "page_number").cast(entries.schema["page_number"].dataType)).select(entries.columns)
 
 
+def correction_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, entries, corrected: how many entries of each document a correction moved to another page."""
+    old = before.select("doc_id", "ordinal", F.col("page_number").alias("was"))
+    both = after.select("doc_id", "ordinal", "page_number").join(old, ["doc_id", "ordinal"], "left")
+    return both.groupBy("doc_id").agg(F.count("*").alias("entries"), F.count_if(~F.col("page_number").eqNullSafe(F.col("was"))).alias("corrected"))
+
+
 def correct_refined(original: DataFrame, refined: DataFrame, printed: DataFrame, blocks: DataFrame, page_counts: DataFrame) -> DataFrame:
     """Restores pages of known entries and verifies all by heading search."""
     from strataleaf.operators.offsets import front_matter_offset

@@ -8,6 +8,7 @@ them, so lazy evaluation, recomputation or a second action never calls it again.
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 10.0, 120.0
 #: Class names of errors that a second attempt does not mend.
 FINAL_ERRORS = ("ContextOverflow", "BadRequest", "InvalidRequest", "ValidationError")
+#: Seconds between requests for contents and for names.
+TOC_DELAY, RENAME_DELAY = 10.0, 2.0
 ENTRY_SCHEMA = "array<struct<title:string,page_number:int,level:int,confidence:double>>"
 RENAME_SCHEMA = "array<struct<input_filename:string,output_filename:string,confidence:double,reasoning:string>>"
 Provider = Callable[[str, str], list[dict]]
@@ -58,17 +61,22 @@ def requests(batches: DataFrame, first: str = TOC_PROMPT, following: str = CONTI
     return batches.select("doc_id", "batch_ix", F.when(F.col("batch_ix") == 1, first).otherwise(following).alias("system"), F.concat(said, F.col("text")).alias("text"))
 
 
-def infer(wanted: DataFrame, provider: Provider, schema: str, path: str, delay: float = 0.0, retryable: Callable[[Exception], bool] = is_retryable) -> DataFrame:
-    """Rows of the provider for each request, written to path; with a delay, requests go one after the other."""
+def infer(wanted: DataFrame, provider: Provider, schema: str, path: str, delay: float = 0.0, retryable: Callable[[Exception], bool] = is_retryable, log: Callable[[str], None] | None = None) -> DataFrame:
+    """Rows of the provider for each request, written to path; with a delay, requests go one after the other.
+
+    Failed attempts are told to log, by default a warning of the worker's logger.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tell, asked_before = log or logging.getLogger("strataleaf").warning, False
         for part in parts:
             rows = []
             for doc_id, batch_ix, system, text in part[["doc_id", "batch_ix", "system", "text"]].itertuples(index=False):
-                found = with_retry(lambda s=system, t=text: provider(s, t), retryable)
-                rows.append((doc_id, batch_ix, json.dumps(found)))
-                if delay:
+                if delay and asked_before:
                     time.sleep(delay)
+                asked_before = True
+                found = with_retry(lambda s=system, t=text: provider(s, t), retryable, log=tell)
+                rows.append((doc_id, batch_ix, json.dumps(found)))
             yield pd.DataFrame(rows, columns=["doc_id", "batch_ix", "answer"])
 
     asked = wanted.coalesce(1) if delay else wanted

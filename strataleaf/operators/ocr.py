@@ -38,6 +38,14 @@ def needs_ocr(docs: DataFrame, pages: DataFrame, min_coverage: float = MIN_COVER
     return known.withColumn("needs_ocr", (F.col("pages") == 0) | (F.col("with_text") == 0) | F.coalesce(share < min_coverage, F.lit(True)))
 
 
+class Detection(Protocol):
+    """Decides which documents need recognition; needs_ocr() is the one used by default."""
+
+    def __call__(self, docs: DataFrame, pages: DataFrame) -> DataFrame:
+        """A row with doc_id and needs_ocr for each document."""
+        ...
+
+
 class OcrProvider(Protocol):
     """Recognises one rendered page; language and resolution are its own settings."""
 
@@ -54,7 +62,16 @@ def recognise(pages: DataFrame, provider: Callable[[bytes | None], str]) -> Data
     return pages.select("doc_id", "page_number", "image").mapInPandas(run, "doc_id long, page_number int, text string")
 
 
-def extract_text(docs: DataFrame, pages: DataFrame, images: DataFrame, provider: Callable[[bytes | None], str], force: bool = False, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def extract_text(
+    docs: DataFrame,
+    pages: DataFrame,
+    images: DataFrame,
+    provider: Callable[[bytes | None], str],
+    force: bool = False,
+    min_coverage: float = MIN_COVERAGE,
+    detect: Detection | None = None,
+) -> DataFrame:
     """Recognised pages of the documents that need it (all with force); other documents have no row."""
-    wanted = docs.select("doc_id") if force else needs_ocr(docs, pages, min_coverage).where("needs_ocr").select("doc_id")
+    found = detect(docs, pages) if detect else needs_ocr(docs, pages, min_coverage)
+    wanted = docs.select("doc_id") if force else found.where("needs_ocr").select("doc_id")
     return recognise(images.join(wanted, "doc_id", "left_semi"), provider)

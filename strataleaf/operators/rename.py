@@ -67,6 +67,21 @@ def preview(ops: DataFrame, reasoning_chars: int = 50) -> DataFrame:
     return ops.select("ordinal", "input_filename", "output_filename", format_confidence(F.col("confidence")).alias("confidence"), confidence_bucket(F.col("confidence")).alias("colour"), short.alias("reasoning"))
 
 
+def display(resolved: DataFrame, ops: DataFrame, reasoning_chars: int = 50) -> DataFrame:
+    """Resolved renames with what the last operation on the source's name says of them; N/A where there is none."""
+    last = ops.groupBy("input_filename").agg(F.max_by(F.struct("confidence", "reasoning"), "ordinal").alias("op"))
+    shown = resolved.withColumn("input_filename", basename(F.col("source"))).join(last, "input_filename", "left")
+    percent = F.concat(F.rint(F.col("op.confidence") * 100).cast("long").cast("string"), F.lit("%"))
+    why = F.coalesce("op.reasoning", F.lit(""))
+    short = F.when(F.length(why) > reasoning_chars, F.concat(F.substring(why, 1, reasoning_chars), F.lit("..."))).otherwise(why)
+    return shown.select("ordinal", "source", "target", F.coalesce(percent, F.lit("N/A")).alias("confidence"), F.coalesce(confidence_bucket(F.col("op.confidence")), F.lit("red")).alias("colour"), short.alias("reasoning"))
+
+
+def result_length(ops: DataFrame) -> DataFrame:
+    """n_operations of a rename result."""
+    return ops.agg(F.count("*").alias("n_operations"))
+
+
 def operation_string() -> Column:
     """An operation as inference logs count it."""
     return F.format_string("RenameOp('%s' -> '%s', confidence=%s)", "input_filename", "output_filename", F.col("confidence").cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,23 @@ def feature_string() -> Column:
     return F.concat(head, F.coalesce(y, F.lit("")), F.coalesce(bold, F.lit("")), F.lit(")"))
 
 
-def feature_list_tokens(features: DataFrame) -> DataFrame:
-    """doc_id, tokens: proxy count of a document's features written as nested lists of blocks, lines and spans."""
+def _nested(rows: DataFrame, keys: list[str], below: str) -> DataFrame:
+    """The texts of the rows of each key as one bracketed list, in the order of the column below."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(below, "t"))), lambda x: x["t"])
+    return rows.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]")).alias("t"))
+
+
+def feature_list_text(features: DataFrame) -> DataFrame:
+    """doc_id, text: a document's features as nested lists of blocks, lines and spans."""
+    spans = features.select("doc_id", F.struct("page_number", "phase", "block_ix").alias("block"), "line_ix", "span_ix", feature_string().alias("t"))
+    lines = _nested(spans, ["doc_id", "block", "line_ix"], "span_ix")
+    return _nested(_nested(lines, ["doc_id", "block"], "line_ix"), ["doc_id"], "block").withColumnRenamed("t", "text")
+
+
+def feature_list_tokens(features: DataFrame, tokens: Callable[[Column], Column] = proxy_tokens) -> DataFrame:
+    """doc_id, tokens of feature_list_text(); the proxy needs lengths only and makes no text."""
+    if tokens is not proxy_tokens:
+        return feature_list_text(features).select("doc_id", tokens(F.col("text")).alias("tokens"))
     spans = features.select("doc_id", "page_number", "phase", "block_ix", "line_ix", F.length(feature_string()).alias("n"))
     # Brackets around each list and a comma and a blank between neighbours.
     lines = spans.groupBy("doc_id", "page_number", "phase", "block_ix", "line_ix").agg((F.sum("n") + F.count("*") * 2).alias("n"))
@@ -71,12 +88,12 @@ def feature_list_tokens(features: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.ceil((F.sum("n") + F.count("*") * 2) / F.lit(4.0)).cast("long").alias("tokens"))
 
 
-def block_tokens(features: DataFrame) -> DataFrame:
-    """Estimated tokens of each feature block (proxy count), at least one."""
+def block_tokens(features: DataFrame, tokens: Callable[[Column], Column] = proxy_tokens) -> DataFrame:
+    """Estimated tokens of each feature block, at least one."""
     line = F.concat(F.lit("F0|12|"), F.col("text_snippet"), F.lit("|.12|B"))
     blocks = features.groupBy("doc_id", "page_number", "phase", "block_ix").agg(F.sort_array(F.collect_list(F.struct("line_ix", "span_ix", line.alias("line")))).alias("p"))
     text = F.concat(F.lit("P1:\n"), F.array_join(F.transform("p", lambda x: x["line"]), "\n"))
-    return blocks.select("doc_id", "page_number", "phase", "block_ix", F.greatest(F.lit(1).cast("long"), proxy_tokens(text)).alias("tokens"))
+    return blocks.select("doc_id", "page_number", "phase", "block_ix", F.greatest(F.lit(1).cast("long"), tokens(text)).alias("tokens"))
 
 
 def even_sample(rows: DataFrame, keys: list[str], order: list[str], n) -> DataFrame:

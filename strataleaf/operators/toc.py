@@ -65,6 +65,12 @@ def check_no_existing(bookmarks: DataFrame, force: bool = False) -> DataFrame:
     return bookmarks if force else bookmarks.where(F.coalesce(F.size("existing_toc"), F.lit(0)) <= 0)
 
 
+def transplant(entries: DataFrame, copies: DataFrame) -> DataFrame:
+    """Entries found in copies (copy_id, doc_id), as with recognised text, as entries of the documents they are copies of."""
+    moved = entries.withColumnRenamed("doc_id", "copy_id").join(copies.select("copy_id", "doc_id"), "copy_id")
+    return moved.select(entries.columns)
+
+
 def entry_string() -> Column:
     """An entry as inference logs count it."""
     return F.format_string("TOCEntry(level=%d, title='%s', page_number=%d, confidence=%s)", "level", "title", "page_number", F.col("confidence").cast("string"))

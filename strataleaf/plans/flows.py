@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataleaf.functions.text import proxy_tokens
 from strataleaf.operators import batching, correction, features, inference, ocr, offsets, rename, serialize, toc
 from strataleaf.sources import pages as source
 
@@ -17,12 +18,12 @@ def contents_without_inference(spans: DataFrame) -> DataFrame:
     return toc.finish(features.heading_entries(found))
 
 
-def batch_texts(feats: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
+def batch_texts(feats: DataFrame, max_tokens: int, overlap: int, count: Callable[[str], int] = batching.proxy_count) -> DataFrame:
     """doc_id, batch_ix, batches, text: compact form of each batch of features."""
     lines = serialize.feature_lines(feats)
     block = Window.partitionBy("doc_id").orderBy("page_number", "phase", "block_ix")
     numbered = feats.withColumn("block_no", (F.dense_rank().over(block) - 1).cast("long"))
-    ranges = batching.feature_batches(lines, max_tokens, overlap)
+    ranges = batching.feature_batches(lines, max_tokens, overlap, count)
     parts = numbered.join(ranges, "doc_id").where((F.col("block_no") >= F.col("first")) & (F.col("block_no") < F.col("end")))
     # A batch is serialised as a document of its own.
     keyed = parts.withColumn("key", F.struct("doc_id", "batch_ix")).drop("batch_ix", "first", "end", "block_no")
@@ -39,13 +40,14 @@ def generate_contents(
     max_tokens: int = batching.FEATURE_TOKENS,
     overlap: int = batching.OVERLAP_BLOCKS,
     delay: float = 0.0,
+    count: Callable[[str], int] = batching.proxy_count,
 ) -> DataFrame:
     """Entries of each document: features, batches, inference, merge, corrections, hierarchy.
 
     Inference is written below work_path before anything reads it.
     """
     feats = features.extract(spans)
-    wanted = inference.requests(batch_texts(feats, max_tokens, overlap))
+    wanted = inference.requests(batch_texts(feats, max_tokens, overlap, count))
     rows = inference.infer(wanted, provider, inference.ENTRY_SCHEMA, f"{work_path}/entries", delay)
     entries = toc.merge(rows)
     order = Window.partitionBy("doc_id").orderBy(*features.ORDER)
@@ -79,14 +81,14 @@ def refined_contents(entries: DataFrame, feats: DataFrame, spans: DataFrame, blo
     return corrected.select(entries.columns)
 
 
-def recognised_text(docs: DataFrame, pages: DataFrame, images: DataFrame, provider: Callable, force: bool = False) -> DataFrame:
-    return ocr.extract_text(docs, pages, images, provider, force)
+def recognised_text(docs: DataFrame, pages: DataFrame, images: DataFrame, provider: Callable, force: bool = False, detect: ocr.Detection | None = None) -> DataFrame:
+    return ocr.extract_text(docs, pages, images, provider, force, detect=detect)
 
 
-def plan_renames(paths: DataFrame, instruction: str, provider: inference.Provider, work_path: str, max_tokens: int = batching.NAME_TOKENS) -> DataFrame:
-    """ordinal, source, target of proposed renames for paths (ordinal, path); names are unique or the plan fails."""
+def plan_renames(paths: DataFrame, instruction: str, provider: inference.Provider, work_path: str, max_tokens: int = batching.NAME_TOKENS, delay: float = 0.0, tokens: Callable = proxy_tokens) -> DataFrame:
+    """ordinal, source, target, confidence, colour, reasoning of proposed renames for paths (ordinal, path); names are unique or the plan fails."""
     named = rename.checked_paths(paths).withColumn("doc_id", F.lit(0).cast("long")).withColumn("name", F.col("filename"))
-    batched = batching.name_batches(named, "doc_id", "ordinal", max_tokens)
+    batched = batching.name_batches(named, "doc_id", "ordinal", max_tokens, tokens)
     before = batching.files_before(batched, "doc_id")
     text = batched.groupBy("doc_id", "batch_ix").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "name"))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("names"))
     asked = text.join(before, ["doc_id", "batch_ix"]).select(
@@ -95,7 +97,8 @@ def plan_renames(paths: DataFrame, instruction: str, provider: inference.Provide
         F.lit(inference.RENAME_PROMPT).alias("system"),
         F.concat(F.lit(instruction), F.format_string("\n(%d files before)\n", "files_before"), F.col("names")).alias("text"),
     )
-    rows = inference.infer(asked, provider, inference.RENAME_SCHEMA, f"{work_path}/renames", retryable=lambda _: True)
+    rows = inference.infer(asked, provider, inference.RENAME_SCHEMA, f"{work_path}/renames", delay, retryable=lambda _: True)
     order = Window.partitionBy("doc_id").orderBy("batch_ix", "ordinal")
     merged = rename.merge(rows).withColumn("ordinal", F.row_number().over(order).cast("long"))
-    return rename.resolve(rename.valid_operations(merged), named)
+    ops = rename.valid_operations(merged)
+    return rename.display(rename.resolve(ops, named), ops)

@@ -119,6 +119,13 @@ def toc_existing_guard(spark, sf_dir):
     return toc.check_no_existing(docs).select("doc_id", "n_entries")
 
 
+@query(f"""WITH {ENTRIES_SQL} SELECT -o_orderkey AS doc_id, ordinal, title, page_number, level, confidence FROM entries JOIN orders ON o_orderkey = doc_id WHERE o_orderstatus = 'F'""")
+def toc_transplant(spark, sf_dir):
+    key = F.col("o_orderkey")
+    copies = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(key.alias("copy_id"), (-key).alias("doc_id"))
+    return toc.transplant(entries_of(spark, sf_dir), copies)
+
+
 # ---- Text of document lines and of part names ----
 
 LINES_SQL = r"""lines AS (SELECT doc_id, (unnest(generate_series(1, len(p))) - 1)::INT AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"""
@@ -286,6 +293,11 @@ def feature_list_tokens(spark, sf_dir):
     return serialize.feature_list_tokens(features_of(spark, sf_dir))
 
 
+@query(f"WITH {FEATURES_SQL}, {FEATURE_STRING_SQL} SELECT doc_id, '[' || string_agg('[[' || s || ']]', ', ' ORDER BY phase, block_ix) || ']' AS text FROM fstrings GROUP BY 1")
+def feature_list_text(spark, sf_dir):
+    return serialize.feature_list_text(features_of(spark, sf_dir))
+
+
 @query(f"""WITH {FEATURES_SQL} SELECT doc_id, page_number, phase, block_ix, greatest(1, ceil(length(concat('P1:', chr(10), 'F0|12|', text_snippet, '|.12|B')) / 4.0))::BIGINT AS tokens FROM features""")
 def block_token_estimates(spark, sf_dir):
     return serialize.block_tokens(features_of(spark, sf_dir))
@@ -457,6 +469,12 @@ def running_header_fix(spark, sf_dir):
     return correction.correct_running_headers(entries, feats)
 
 
+@query(f"WITH {HEADER_FIX_SQL} SELECT doc_id, count(*) AS entries, count(*) FILTER (only_header AND found) AS corrected FROM judged GROUP BY 1")
+def correction_counts(spark, sf_dir):
+    entries = document_lines(spark, sf_dir).where("y < 0.05").select("doc_id", "ordinal", F.col("line").alias("title"), "page_number")
+    return correction.correction_counts(entries, running_header_fix(spark, sf_dir))
+
+
 BLOCK_FORMS_SQL = f"""{DOC_PAGES_SQL},
 cand AS (SELECT *, {d.normalize_snippet('line')} AS cand_norm, {d.normalize_title('line')} AS cand_title FROM placed),
 titled AS (SELECT doc_id, ordinal, line AS title, page_number, {d.normalize_snippet('line')} AS norm, {d.normalize_snippet(d.without_appendix('line'))} AS norm_without FROM placed WHERE ordinal % 10 = 0)"""
@@ -623,6 +641,15 @@ def ocr_coverage(spark, sf_dir):
     return ocr.needs_ocr(docs, pages, sample_pages=3)
 
 
+@query("""WITH parts AS (SELECT conv_id % 10 AS doc_id, conv_id AS part, turn + 1 AS page_number, text FROM conversations),
+sizes AS (SELECT doc_id, part, max(page_number) AS n FROM parts GROUP BY ALL),
+starts AS (SELECT doc_id, part, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM sizes)
+SELECT doc_id, part, (page_number + b)::BIGINT AS page_number, text FROM parts JOIN starts USING (doc_id, part)""")
+def concat_pages(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return source.concatenated(turns.select((F.col("conv_id") % 10).alias("doc_id"), F.col("conv_id").alias("part"), (F.col("turn") + 1).alias("page_number"), "text"))
+
+
 @query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_ix, count(*) OVER (PARTITION BY source) AS page_count FROM documents)
 SELECT source, doc_id, page_ix::INT AS page_ix, page_count, least(page_ix // greatest(1, page_count // 4), 3)::INT AS part FROM p""")
 def page_ranges(spark, sf_dir):
@@ -756,6 +783,21 @@ def rename_preview(spark, sf_dir):
     return rename.preview(rename.valid_operations(_ops(spark, sf_dir)))
 
 
+@query(f"""WITH {RESOLVE_SQL}, last AS (SELECT * FROM ops WHERE ordinal % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY input_filename ORDER BY ordinal DESC) = 1)
+SELECT r.ordinal, r.source, r.target, CASE WHEN l.input_filename IS NULL THEN 'N/A' ELSE concat(round_even(l.confidence * 100, 0)::BIGINT, '%') END AS confidence,
+CASE WHEN l.confidence >= 0.9 THEN 'green' WHEN l.confidence >= 0.7 THEN 'yellow' ELSE 'red' END AS colour,
+CASE WHEN length(l.reasoning) > 50 THEN substr(l.reasoning, 1, 50) || '...' ELSE coalesce(l.reasoning, '') END AS reasoning
+FROM resolved r LEFT JOIN last l ON l.input_filename = regexp_extract(r.source, '[^/]*$')""")
+def rename_display(spark, sf_dir):
+    ops = _ops(spark, sf_dir)
+    return rename.display(rename.resolve(ops, rename.paths_with_names(_paths(spark, sf_dir))), ops.where("ordinal % 7 <> 0"))
+
+
+@query(f"WITH {OPS_SQL} SELECT count(*) AS n_operations FROM ops")
+def rename_length(spark, sf_dir):
+    return rename.result_length(_ops(spark, sf_dir))
+
+
 OUTCOME_SQL = f"""{RESOLVE_SQL},
 touched AS (SELECT p, count(*) AS n FROM (SELECT source AS p FROM resolved UNION ALL SELECT target FROM resolved) GROUP BY 1),
 have AS (SELECT DISTINCT path AS p FROM named WHERE page_id % 4 <> 3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,31 @@ def existing_contents(documents: DataFrame, reader: Callable[[bytes], list]) ->
     return documents.select("doc_id", "path", "content").mapInPandas(run, "doc_id long, path string, existing_toc array<struct<level:int,title:string,page_number:int>>")
 
 
+def with_contents(documents: DataFrame, entries: DataFrame, writer: Callable[[bytes, list], bytes]) -> DataFrame:
+    """doc_id, path, content of each document with its entries as bookmarks, through a writer of files.
+
+    The writer takes the file and its rows (level, title, page) in order; a document without entries gets none.
+    """
+    listed = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "level", "title", "page_number"))).alias("rows"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [[] if x is None else [[r["level"], r["title"], r["page_number"]] for r in x] for x in part["rows"]]
+            made = [writer(c, r) for c, r in zip(part["content"], rows, strict=True)]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "path": part["path"], "content": made})
+
+    return documents.select("doc_id", "path", "content").join(listed, "doc_id", "left").mapInPandas(run, "doc_id long, path string, content binary")
+
+
+def concatenated(parts: DataFrame) -> DataFrame:
+    """Pages of the parts of a document (doc_id, part, page_number from 1 in each) as one run of pages, parts in order."""
+    sizes = parts.groupBy("doc_id", "part").agg(F.max("page_number").alias("_pages"))
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("doc_id", "part", F.coalesce(F.sum("_pages").over(before), F.lit(0)).alias("_before"))
+    joined = parts.join(starts, ["doc_id", "part"])
+    return joined.withColumn("page_number", (F.col("page_number") + F.col("_before")).cast("long")).select(parts.columns)
+
+
 def page_images(documents: DataFrame, renderer: Callable[[bytes, int], Iterator[bytes]], dpi: int) -> DataFrame:
     """doc_id, page_number, image of every page, in the resolution asked for; a page at a time."""
 
