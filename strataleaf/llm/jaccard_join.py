@@ -16,8 +16,7 @@
 4. Components are found by star contraction of the link table.
 
 Nothing is capped: a key with very many classes is searched in blocks of bounded
-size, by size of the sets first, each pair of blocks of like sizes by itself; equal
-lists of classes are searched once.
+size, each pair of blocks by itself; equal lists of classes are searched once.
 
 Defined results: a null text, an empty one or one of white space has no shingle,
 links with nothing and is a component by itself; with fewer words than a shingle
@@ -76,10 +75,6 @@ class Threshold:
         """Largest symmetric difference of linked sets whose sizes add up to total."""
         return (100 - self.percent) * total // (100 + self.percent)
 
-    def size_class(self) -> float:
-        """Logarithm of the ratio of neighbouring size classes; a little more than linked sets may differ by, against rounding."""
-        return 1.001 * math.log(100 / self.percent) if self.percent < 100 else 1.0
-
     def instances(self, n: int) -> list[tuple[int, int, int]]:
         """(number, least size, largest symmetric difference) of the groupings that a set of n shingles takes part in.
 
@@ -217,33 +212,6 @@ def _bounded(pairs: DataFrame, points: DataFrame, threshold: Threshold) -> DataF
     return near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """members (key, c, n, rep and others) with mine, other: each pair of blocks that may hold linked sets has all rows of both.
-
-    A key of at most BLOCK classes is one block. Those of a larger key are told apart by size first:
-    linked sets lie in one size class or in neighbouring ones, so blocks of others never meet.
-    """
-    small = members.where(F.col("c") <= BLOCK).withColumn("mine", F.lit(0).cast("long")).withColumn("other", F.col("mine"))
-    size = F.floor(F.log(F.col("n").cast("double")) / threshold.size_class()).cast("long")
-    large = members.where(F.col("c") > BLOCK).withColumn("size", size)
-    held = large.groupBy("key", "size").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    around = held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("held"))  # as many as there are size classes
-    blocks = lambda at: F.coalesce(F.try_element_at("held", at), F.lit(0).cast("long"))
-    code = lambda at, block: at * F.lit(1 << 32) + block
-
-    def codes(at):
-        numbers = F.sequence(F.lit(0).cast("long"), blocks(at) - 1)
-        return F.when(blocks(at) > 0, F.transform(numbers, lambda b: code(at, b))).otherwise(F.array().cast("array<long>"))
-
-    near = [codes(F.col("size") + step) for step in (-1, 0, 1)]
-    dealt = (
-        large.join(around, "key")
-        .withColumn("mine", code(F.col("size"), F.pmod(F.xxhash64("rep", F.lit(3)), blocks(F.col("size")))))
-        .withColumn("other", F.explode(F.concat(*near)))
-    )
-    return small.unionByName(dealt.drop("size", "held"))
-
-
 def _searched(members: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs that the tree of a block lets through: rows (key, i, j, side, rep, n, point, component, least)."""
 
@@ -327,17 +295,25 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .withColumn("component", F.coalesce("component", "rep"))
     )
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    searched = labelled.join(open_keys, "key", "left_semi").join(points, "rep")
-    spread = _in_blocks(searched, threshold).select(
-        "key",
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        (F.col("mine") >= F.col("other")).cast("int").alias("side"),
-        "rep",
-        "n",
-        "point",
-        "component",
-        "least",
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
+    spread = (
+        labelled.join(open_keys, "key", "left_semi")
+        .join(points, "rep")
+        .withColumn("blocks", blocks)
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key",
+            F.least("mine", "other").alias("i"),
+            F.greatest("mine", "other").alias("j"),
+            (F.col("mine") >= F.col("other")).cast("int").alias("side"),
+            "rep",
+            "n",
+            "point",
+            "component",
+            "least",
+        )
     )
     second = written(_searched(spread, threshold), "pairs")
     more = _linked(second, docs, width, threshold)

@@ -78,28 +78,6 @@ def test_join_equals_brute_force(spark, width, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want}) and kept.columns == df.columns
 
 
-def test_keys_of_many_classes_lose_no_pair(spark, monkeypatch):
-    """Small blocks, as keys of very many classes have: pairs of like sizes meet in a block pair, results stay."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    rng = random.Random(11)
-    threshold = jaccard_join.Threshold(85)
-    sizes = [rng.choice([1, 2, 17, 20, 85, 100, 99, 118, 1000, 850, 5000]) for _ in range(60)]
-    rows = [(k, c, d, n) for k, c, part in ((1, 60, sizes), (2, 3, sizes[:3])) for d, n in enumerate(part)]
-    dealt = jaccard_join._in_blocks(spark.createDataFrame(rows, "key long, c long, rep long, n long"), threshold).collect()
-    places = {}
-    for r in dealt:
-        places.setdefault((r.key, r.rep), set()).add((min(r.mine, r.other), max(r.mine, r.other)))
-    for k, part in ((1, sizes), (2, sizes[:3])):
-        for a, n in enumerate(part):
-            for b, m in enumerate(part):
-                if 100 * min(n, m) >= 85 * max(n, m):
-                    assert places[k, a] & places[k, b]
-    assert len(dealt) < 3 + 60 * 60 / 3 / 2  # far fewer than if each block met each
-    rows = list(enumerate(near_copies(random.Random(12), 300)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in jaccard_join.join(df).collect()} == brute_components(rows, 4, 85)
-
-
 def thue_morse(n):
     """Words that sums of powers modulo 2**64 cannot tell apart, whatever the base."""
     word = "".join("ab"[k.bit_count() % 2] for k in range(n))
