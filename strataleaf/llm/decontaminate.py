@@ -10,8 +10,9 @@ neighbour, then for twice as many pieces, up to the whole item with its whole
 budget, whatever its length. An item too short for any edit counts only as whole
 words ("yes" is not in "blue eyes").
 
-Items are read in blocks of at most block_items rows; each block is one pass
-over the documents, so the automaton that is sent to the executors is bounded.
+Items are read in blocks of about block_items rows and block_chars characters at
+most (the texts of one item_id stay together); each block is one pass over the
+documents, so what is sent to the executors is bounded.
 
 Defined results: a null or empty text matches nothing; an item without letters
 or digits matches nothing; repeated documents are reported each (equal rows
@@ -32,6 +33,7 @@ from strataleaf.llm.frames import slices
 
 ERROR_RATE = 0.08
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 8_000_000
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SCHEMA = "doc_id long, item_id long, distance long"
 
@@ -166,24 +168,24 @@ class Matcher:
         return held
 
 
-def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, a bounded number at a time, in order of item_id and text."""
+def _blocks(benchmark: DataFrame, block_items: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, a bounded number of rows and characters at a time, in order of item_id and text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL")
-    n = items.count()
-    if n <= block_items:
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    if n <= block_items and chars <= block_chars:
         if rows := [tuple(r) for r in items.distinct().collect()]:
             yield sorted(rows, key=str)
         return
-    blocks = -(-n // block_items) * 2
+    blocks = max(-(-n // block_items), -(-chars // block_chars)) * 2
     dealt = items.distinct().withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     for b in range(blocks):
         if rows := [tuple(r) for r in dealt.where(F.col("b") == b).drop("b").collect()]:
             yield rows
 
 
-def _matchers(docs: DataFrame, benchmark: DataFrame, error_rate: float, block_items: int):
+def _matchers(docs: DataFrame, benchmark: DataFrame, error_rate: float, block_items: int, block_chars: int):
     sc = docs.sparkSession.sparkContext
-    for items in _blocks(benchmark, block_items):
+    for items in _blocks(benchmark, block_items, block_chars):
         yield sc.broadcast((items, error_rate))
 
 
@@ -209,10 +211,10 @@ class _Sent:
         return self.broadcast.value
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id and least distance of each item that a document holds within its budget."""
     found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for broadcast in _matchers(docs, benchmark, error_rate, block_items):
+    for broadcast in _matchers(docs, benchmark, error_rate, block_items, block_chars):
         sent = _Sent(broadcast)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -231,9 +233,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     return found.distinct()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no item, all columns as they were."""
-    for broadcast in _matchers(docs, benchmark, error_rate, block_items):
+    for broadcast in _matchers(docs, benchmark, error_rate, block_items, block_chars):
         sent = _Sent(broadcast)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

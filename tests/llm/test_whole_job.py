@@ -14,6 +14,18 @@ def test_every_text_of_an_item_id_is_looked_for(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [4]
 
 
+def test_blocks_are_bounded_by_characters_too(spark):
+    items = [(i, "word " * 20 + f"item {i}") for i in range(30)] + [(3, "other words of the same item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, 1000, 500))
+    assert len(blocks) > 3 and sorted(r for b in blocks for r in b) == sorted(items)
+    assert sum(3 in {i for i, _ in b} for b in blocks) == 1
+    docs = spark.createDataFrame([(1, items[7][1]), (2, items[30][1]), (3, "clean")], "doc_id long, text string")
+    want = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    assert (2, 3, 0) in want and (1, 7, 0) in want
+    assert sorted(map(tuple, decontaminate.matches(docs, bench, block_chars=500).collect())) == want
+
+
 def test_long_items_have_one_budget():
     rng = random.Random(3)
     item = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(900))[:4000].strip()
