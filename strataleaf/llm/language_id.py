@@ -31,6 +31,8 @@ from strataleaf.llm.frames import slices
 
 PER_LANGUAGE = 300
 SAMPLE = 4800
+#: Parts of a language whose least hashes are found each by itself.
+PARTS = 32
 BITS = 13
 SCALE = 100.0
 UNDETERMINED = "und"
@@ -139,9 +141,15 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int
     """lang, text of the documents to learn from: labelled, not held out, each different row once."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
     labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # Each task sends at most so many hashes of a language on; texts are fetched for the chosen ones alone.
-    first = labelled.select("lang", "h").groupBy("lang", "h").agg(F.lit(1)).select("lang", "h")
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+
+    def least(rows: DataFrame, rank: Column, *by: str) -> DataFrame:
+        return rows.withColumn("r", rank.over(Window.partitionBy("lang", *by).orderBy("h"))).where(F.col("r") <= per_language)
+
+    # The least hashes of each task first, then of each part of a language, then of the language: no task sends on or reads
+    # more than so many of them (a repeated row has one rank). Texts are fetched for the chosen ones alone.
+    of_task = least(labelled.select("lang", "h", F.spark_partition_id().alias("task")), F.dense_rank(), "task").select("lang", "h").distinct()
+    of_part = least(of_task.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS))), F.row_number(), "part").select("lang", "h")
+    ranked = least(of_part, F.row_number())
     chosen = ranked.orderBy("r", "h", "lang").limit(sample).select("lang", "h")
     found = labelled.join(F.broadcast(chosen), ["lang", "h"])  # at most `sample` rows of two short values
     return found.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")

@@ -201,6 +201,18 @@ def test_language_edges(spark):
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_training_rows_are_those_of_least_hash(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(900)]
+    df = spark.createDataFrame(rows + rows[:300] * 2 + [(901, "text", None), (902, None, "en"), (903, "1", "fr")], "doc_id long, text string, lang string").repartition(7)
+    hashed = df.where(~language_id.held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).distinct().collect()
+    by_lang = {lang: sorted((r.h, r.text) for r in hashed if r.lang == lang and "text" in (r.text or "")) for lang in ("en", "de")}
+    got = sorted(map(tuple, language_id.training_rows(df, per_language=40).collect()))
+    assert got == sorted((lang, text) for lang, held in by_lang.items() for _, text in held[:40])
+    few = language_id.training_rows(df, per_language=40, sample=20).collect()
+    assert len(few) == 20 and {tuple(r) for r in few} <= set(got)
+    assert not language_id.training_rows(df.limit(0)).collect()
+
+
 def test_ids_are_those_of_tokenizers(spark):
     tokens = Tokenizer.from_file(VOCABULARY)
     texts = [r.text for r in table(spark, SF, "documents").collect()] + ["", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext|", "  \n\t é 日本 🙂" * 30, "x" * 5000, "1234567890" * 200, "'s 're don't"]
