@@ -285,6 +285,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     candidates = written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     points = only_ids(described.where("n > 0").select("doc_id", "n", "point"), candidates, "doc_id")
     points = written(points.select(F.col("doc_id").alias("rep"), "n", "point").distinct(), "points")
+    forget(copies, candidates)  # what is written after them no longer reads them
     first = members.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = _linked(written(_bounded(first, points, threshold), "pairs"), docs, width, threshold)
     joined = components(links)
@@ -316,7 +317,9 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         )
     )
     second = written(_searched(spread, threshold), "pairs")
+    forget(members, points)
     more = _linked(second, docs, width, threshold)
+    forget(second)
     final = components(links.unionByName(more))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
