@@ -25,6 +25,7 @@ def containment_join(left: DataFrame, right: DataFrame, on: list[str], l_text: s
     for outer, inner, o, i, size in ((left, right, l_text, r_text, ">="), (right, left, r_text, l_text, ">")):
         grams = outer.where(F.length(o) >= GRAM).withColumn("_gram", F.explode(_grams(F.col(o))))
         heads = inner.where(F.length(i) >= GRAM).withColumn("_gram", F.substring(i, 1, GRAM))
-        met = grams.join(heads, [*on, "_gram"]).where(F.expr(f"length({o}) {size} length({i})") & F.col(o).contains(F.col(i)))
+        # Merged: Spark guesses the size of computed texts from that of the files they come from, and would broadcast large tables.
+        met = grams.join(heads.hint("merge"), [*on, "_gram"]).where(F.expr(f"length({o}) {size} length({i})") & F.col(o).contains(F.col(i)))
         parts.append(met.drop("_gram"))
     return parts[0].unionByName(parts[1])
