@@ -423,3 +423,27 @@ def test_decontamination_equals_brute_force(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _ in docs} - {d for d, _ in want}
     assert decontaminate.matches(df, bench.where("false")).count() == 0 and decontaminate.clean(df, bench.where("false")).count() == len(docs)
     assert decontaminate.matches(df.where("false"), bench).count() == 0
+
+
+def test_fitting_holds_one_dense_table(monkeypatch):
+    """The driver's memory while it fits: the table of features and little else."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, langs = np.random.default_rng(3), ["de", "en", "fr", "es"] * 75
+    slots = [np.sort(rng.choice(2 << language_id.BITS, 1000, replace=False)).astype(np.int32) for _ in langs]
+    shares = [rng.random(1000).astype(np.float32) / 500 for _ in langs]
+    rows = pa.table({"lang": langs, "slots": pa.array(slots, pa.list_(pa.int32())), "shares": pa.array(shares, pa.list_(pa.float32()))})
+
+    class Rows:
+        mapInArrow = lambda self, *_: self
+        toArrow = lambda self: rows
+
+    monkeypatch.setattr(language_id, "training_rows", lambda *_: Rows())
+    tracemalloc.start()
+    model = language_id.fit(None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.shape == ((2 << language_id.BITS) + 1, 3)
+    assert peak < 3 * len(langs) * (2 << language_id.BITS) * 4
