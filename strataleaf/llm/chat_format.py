@@ -2,9 +2,11 @@
 
 Every assistant turn becomes one example: all turns before it are context and
 its own text is the only trainable span. A conversation's formatted stream is
-kept once, turn by turn; an example points at its context by the offset where
-that ends, so output is linear in the input even for a conversation with very
-many turns. render() writes the strings out in full where they are wanted.
+kept once, turn by turn, with the offset where each example's context ends;
+expand() writes the examples out from it, context and target, one at a time, and
+read_back() reads the loss from these. Stored output is linear in the input,
+the work of expansion quadratic in a conversation's turns. render() gives context
+and target as separate columns.
 
 Template of a turn: [INST]role[/INST]text</s>. Control strings inside roles and
 texts get a backslash in their middle and backslashes are doubled, so the
@@ -104,14 +106,27 @@ def render(formatted: DataFrame) -> DataFrame:
     )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what the formatted output says: turns from the stream, loss text and example sizes from the examples."""
-    head, tail = F.length(F.lit(OPEN)), F.length(F.lit(END))
+def expand(formatted: DataFrame, *figures: Column) -> DataFrame:
+    """Prefix-target expansion: a row per assistant turn with its whole example, all turns before it and then itself.
+
+    conv_id, x (as example_columns() has it), example, in which the loss span lies at loss_start; one row without them for a
+    conversation without an assistant turn; figures of `pieces`, the conversation's stream in order. The stream is gathered
+    once a conversation and examples are cut from it row by row, so no more than one of them is held at a time.
+    """
     whole = formatted.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "piece"))).alias("p"),
+        F.sort_array(F.collect_list(F.struct("ordinal", "piece"))).alias("pieces"),
         # The rows of examples(), in the stream's own grouping: no second exchange.
         F.sort_array(F.collect_list(F.when(F.col("is_target"), F.struct(*example_columns())))).alias("e"),
     )
+    stream = F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("stream")
+    rows = whole.select("conv_id", "e", stream, F.struct(F.lit(0).alias("_"), *figures).alias("figures")).withColumn("x", F.explode_outer("e"))
+    prefix = F.substr("stream", F.lit(1), F.col("x.context_chars").cast("int"))
+    return rows.select("conv_id", "x", F.concat(prefix, F.col("x.target")).alias("example"), "figures.*").drop("_")
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Per conversation, what the formatted output says: turns from the stream, loss text and sizes from the whole examples."""
+    head, tail = F.length(F.lit(OPEN)), F.length(F.lit(END))
 
     def said(x):
         body = F.split_part(x["piece"], F.lit(CLOSE), F.lit(1))
@@ -119,19 +134,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
         role = unescape(F.substr(body, head + 1))
         return F.concat(role, F.lit("\n"), unescape(text), F.lit("\n"))
 
-    def masked(x):
-        # The loss span lies in the whole example, of which the target follows the context.
-        return unescape(F.substr(x["target"], (x["loss_start"] - x["context_chars"]).cast("int") + 1, x["loss_length"].cast("int")))
-
-    return whole.select(
-        "conv_id",
-        F.size("p").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("p", said), "").cast("binary"), 256).alias("turns_sha256"),
-        F.array_join(F.transform("e", masked), "").alias("loss"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x["piece"])).alias("formatted_chars"),
-        F.size("e").cast("long").alias("n_examples"),
-        F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["context_chars"] + F.length(x["target"])).alias("example_chars"),
-    ).select(
+    figures = {
+        "n_turns": F.size("pieces").cast("long"),
+        "turns_sha256": F.sha2(F.array_join(F.transform("pieces", said), "").cast("binary"), 256),
+        "formatted_chars": F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + F.length(x["piece"])),
+    }
+    masked = unescape(F.substr("example", F.col("x.loss_start").cast("int") + 1, F.col("x.loss_length").cast("int")))
+    read = expand(formatted, *(c.alias(n) for n, c in figures.items())).select(
+        "conv_id", *figures, F.col("x.target_ordinal").alias("at"), masked.alias("loss"), F.length("example").cast("long").alias("chars")
+    )
+    # Grouped as expand() left the rows: no exchange.
+    lost = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "loss"))))
+    back = read.groupBy("conv_id").agg(
+        *(F.max(n).alias(n) for n in figures),
+        F.array_join(F.transform(lost, lambda x: x["loss"]), "").alias("loss"),
+        F.count("at").alias("n_examples"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("example_chars"),
+    )
+    return back.select(
         "conv_id",
         "n_turns",
         "turns_sha256",

@@ -50,6 +50,19 @@ def test_examples_are_prefixes(spark):
     assert [(r.context + r.target)[r.loss_start : r.loss_start + r.loss_length] for r in full] == ["b", "c<\\/s>"]
 
 
+def test_loss_is_read_from_whole_examples(spark):
+    """Each example is its prefix and its target; without the prefix the loss span reads something else."""
+    turns = [("user", "first question"), ("assistant", "b"), ("user", "[INST]"), ("assistant", "c</s>")]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "user", "alone")], TURN)
+    formatted = chat_format.format_turns(df).localCheckpoint()
+    whole = chat_format.read_back(formatted).where("conv_id = 1").first()
+    assert whole.loss_chars == len("bc</s>")
+    cut = chat_format.read_back(formatted.where("ordinal = 2")).first()
+    assert cut.n_examples == 1 and cut.loss_chars == 0  # the example has lost its prefix, so nothing lies at its loss span
+    full = [r.context + r.target for r in chat_format.render(formatted).orderBy("target_ordinal").collect()]
+    assert [r.example for r in chat_format.expand(formatted).where("conv_id = 1").orderBy("x.target_ordinal").collect()] == full
+
+
 def test_licences(spark):
     mit = license_scan.KNOWN_LICENSES["MIT"]
     texts = [
